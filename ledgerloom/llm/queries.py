@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import sources_mix
+from ledgerloom.llm import bit_packed, packing, sources_mix
 
 QUERIES = {
+    "op2_mixture_packing": packing.query,
+    "op7_bit_packed_ids": bit_packed.query,
     "op10_source_mix": sources_mix.query,
 }
 
