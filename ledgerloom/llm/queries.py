@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bit_packed, packing, sources_mix
+from ledgerloom.llm import bit_packed, language_id, motion_jpeg, packing, quality_rules, sources_mix, url_reputation
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.query,
     "op2_mixture_packing": packing.query,
+    "op4_motion_jpeg": motion_jpeg.query,
+    "op5_url_reputation": url_reputation.query,
     "op7_bit_packed_ids": bit_packed.query,
+    "op8_language_id": language_id.query,
     "op10_source_mix": sources_mix.query,
 }
 
 ORACLES = {
+    "op5_url_reputation": url_reputation.ORACLE,
     "op10_source_mix": sources_mix.ORACLE,
 }
