@@ -156,6 +156,14 @@ def _posteriors(found, languages: list[str]) -> tuple[dict[str, int], np.ndarray
 _models: dict[str, LanguageModel] = {}
 
 
+def _kept_model(model: LanguageModel) -> LanguageModel:
+    """The worker's copy of the model, with the words it has scored so far."""
+    if model.key not in _models:
+        _models.clear()
+        _models[model.key] = model
+    return _models[model.key]
+
+
 def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
     """``documents`` with lang_pred and lang_score (0 to 1); only the text is looked at.
 
@@ -167,10 +175,7 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*[F.col(f"`{c}`") for c in kept]).schema.fields)
 
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = _models.get(shared.value.key)
-        if fitted is None:
-            _models.clear()
-            fitted = _models[shared.value.key] = shared.value
+        fitted = _kept_model(shared.value)
         for part in word_slices(batches):
             lang, score = _labels(fitted, part)
             yield pa.RecordBatch.from_arrays([*part.rows.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*part.rows.schema.names, "lang_pred", "lang_score"])
