@@ -95,24 +95,35 @@ def _distinct(part: WordSlice) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(keys // width, minlength=n), top
 
 
+def counts_of(part: WordSlice) -> dict[str, np.ndarray]:
+    """The counts of each text of a slice."""
+    w = part.words
+    of = {
+        "word_chars": pc.utf8_length(w),
+        "n_symbols": pc.count_substring_regex(w, r"[#*$%&|<>]"),
+        "n_upper": pc.count_substring_regex(w, r"\p{Lu}"),
+        "n_letters": pc.count_substring_regex(w, r"\pL"),
+        "n_digits": pc.count_substring_regex(w, r"\p{Nd}"),
+        "n_marked_words": pc.match_substring_regex(w, r"[^\pL\pN]$"),
+    }
+    found = {k: _per_document(part, v.to_numpy(zero_copy_only=False).astype(np.int32)[part.codes]) for k, v in of.items()}
+    found["n_words"], found["n_repeat_words"] = part.counts, _repeats(part)
+    found["n_lines"], found["n_dup_lines"] = _lines(part.text)
+    found["n_distinct_words"], found["n_top_word"] = _distinct(part)
+    return found
+
+
+def shares_of(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The features of rules and classifiers: each a count over another, 0 where that is 0."""
+    return {name: np.where(counts[b] > 0, counts[a] / np.maximum(counts[b], 1), 0.0) for name, (a, b) in FEATURES.items()}
+
+
 def statistics(documents: DataFrame) -> DataFrame:
     """doc_id and the counts of each whole text; null and empty texts have none of anything."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in word_slices(batches):
-            w = part.words
-            of = {
-                "word_chars": pc.utf8_length(w),
-                "n_symbols": pc.count_substring_regex(w, r"[#*$%&|<>]"),
-                "n_upper": pc.count_substring_regex(w, r"\p{Lu}"),
-                "n_letters": pc.count_substring_regex(w, r"\pL"),
-                "n_digits": pc.count_substring_regex(w, r"\p{Nd}"),
-                "n_marked_words": pc.match_substring_regex(w, r"[^\pL\pN]$"),
-            }
-            found = {k: _per_document(part, v.to_numpy(zero_copy_only=False).astype(np.int32)[part.codes]) for k, v in of.items()}
-            found["n_words"], found["n_repeat_words"] = part.counts, _repeats(part)
-            found["n_lines"], found["n_dup_lines"] = _lines(part.text)
-            found["n_distinct_words"], found["n_top_word"] = _distinct(part)
+            found = counts_of(part)
             yield pa.RecordBatch.from_arrays([part.rows.column(0), *(pa.array(found[c].astype(np.int64)) for c in COUNTS)], names=["doc_id", *COUNTS])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -205,8 +216,7 @@ def learn_rules(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMP
         return []
     picked = documents.sparkSession.createDataFrame(rows)  # sample_rows rows at most
     counts = statistics(documents.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")).toPandas().merge(rows, on="doc_id").sort_values("doc_id")
-    features = {name: np.where(counts[b] > 0, counts[a] / np.maximum(counts[b], 1), 0.0) for name, (a, b) in FEATURES.items()}
-    return learn(features, counts["quality"].to_numpy() == 0)
+    return learn(shares_of({c: counts[c].to_numpy() for c in COUNTS}), counts["quality"].to_numpy() == 0)
 
 
 def verdict(rules: list[Rule]) -> Column:
