@@ -1,6 +1,6 @@
-"""Registered queries of the library and their DuckDB SQL."""
+"""All registered queries of the library, by importing the plan modules."""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLES = {}
+from ledgerloom.plans import returns  # noqa: F401
+from ledgerloom.plans.registry import ORACLES, QUERIES  # noqa: F401
