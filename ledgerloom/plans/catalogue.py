@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import documents, portfolio, returns  # noqa: F401
+from ledgerloom.plans import documents, portfolio, retrieval, returns, state  # noqa: F401
 from ledgerloom.plans.registry import ORACLES, QUERIES  # noqa: F401
