@@ -32,6 +32,11 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space, line ends too, at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def collapse_newlines(text: Column) -> Column:
     return F.regexp_replace(text, r"\n{3,}", "\n\n")
 
@@ -130,7 +135,7 @@ def paragraph_chunks(text: Column, size: int = 1800, overlap: int = 250, least:
     Each start depends on the end before it, so the array is folded over a
     sequence long enough for the smallest step.
     """
-    t = F.trim(collapse_newlines(text))
+    t = strip(collapse_newlines(text))
     n = F.length(t)
     rounds = F.sequence(F.lit(0), (n / max(1, least - overlap) + 1).cast("int"))
 
@@ -140,7 +145,7 @@ def paragraph_chunks(text: Column, size: int = 1800, overlap: int = 250, least:
         cut = F.length(window) - F.length(F.substring_index(window, "\n\n", -1)) - 2
         whole = start + size >= n
         end = F.when(whole, n).when(cut > least, start + cut).otherwise(start + size)
-        piece = F.trim(F.substring(t, start + 1, end - start))
+        piece = strip(F.substring(t, start + 1, end - start))
         chunks = F.when(piece != "", F.concat(state["chunks"], F.array(piece))).otherwise(state["chunks"])
         moved = F.struct(F.when(whole, n).otherwise(F.greatest(end - overlap, start + 1)).cast("int").alias("start"), chunks.alias("chunks"))
         return F.when(start >= n, state).otherwise(moved)
@@ -152,8 +157,8 @@ def paragraph_chunks(text: Column, size: int = 1800, overlap: int = 250, least:
 def sections(text: Column) -> Column:
     """(section, body) of each ``## heading``; a text without one is a single Document; what precedes the first goes."""
     parts = F.filter(F.split(F.concat(F.lit("\n"), text), r"\n(?=##\s)"), lambda p: p.rlike(r"^##\s+\S"))
-    split = F.transform(parts, lambda p: F.struct(F.trim(F.regexp_extract(p, r"^##\s+([^\n]+)", 1)).alias("section"), F.trim(F.regexp_replace(p, r"^##[^\n]*\n?", "")).alias("body")))
-    whole = F.array(F.struct(F.lit("Document").alias("section"), F.trim(text).alias("body")))
+    split = F.transform(parts, lambda p: F.struct(F.trim(F.regexp_extract(p, r"^##\s+([^\n]+)", 1)).alias("section"), strip(F.regexp_replace(p, r"^##[^\n]*\n?", "")).alias("body")))
+    whole = F.array(F.struct(F.lit("Document").alias("section"), strip(text).alias("body")))
     return F.when(F.size(split) > 0, split).otherwise(whole)
 
 
