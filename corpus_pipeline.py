@@ -26,14 +26,14 @@ def _as(docs: DataFrame, found: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; a null or letterless text goes."""
     model = language_id.train(docs.where(language_id.in_training(F.col("doc_id"))))
-    found = language_id.identify(docs, model)
-    return _as(docs, found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("lang_score") > LEAST_LANGUAGE_SCORE)))
+    found = language_id.identify(docs, model, ("__lang", "__lang_score"))
+    return _as(docs, found.where((F.col("__lang") != language_id.UNDETERMINED) & (F.col("__lang_score") > LEAST_LANGUAGE_SCORE)))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifiers keep."""
     model = co_training.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _as(docs, co_training.score(docs, model).where("quality_kept"))
+    return _as(docs, co_training.score(docs, model, ("__text", "__meta", "__score", "__kept")).where("__kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

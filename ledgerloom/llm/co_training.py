@@ -217,14 +217,17 @@ def train(documents: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED
     return co_train(text, meta, np.array([y.get(i, -1) for i in rows["doc_id"]]))
 
 
-def score(documents: DataFrame, model: CoModel | None) -> DataFrame:
-    """``documents`` with text_score, meta_score, quality_score (0 to 1) and quality_kept.
+ADDED = ("text_score", "meta_score", "quality_score", "quality_kept")
+
+
+def score(documents: DataFrame, model: CoModel | None, names_added: tuple[str, str, str, str] = ADDED) -> DataFrame:
+    """``documents`` with text_score, meta_score, quality_score (0 to 1) and quality_kept, or ``names_added``.
 
     A text without words scores 0 and is not kept.  Without a model all others
     score 1 and are kept.  Columns of these names are replaced.
     """
-    added = ["text_score", "meta_score", "quality_score"]
-    own = [c for c in documents.columns if c not in (*added, "quality_kept")]
+    *added, kept = names_added
+    own = [c for c in documents.columns if c not in names_added]
     base = documents.select(*[F.col(f"`{c}`") for c in own])
     names = _columns(documents)
     places = [own.index(c) for c in names]
@@ -246,7 +249,7 @@ def score(documents: DataFrame, model: CoModel | None) -> DataFrame:
             some = part.counts > 0
             yield pa.RecordBatch.from_arrays([*part.rows.columns, *(pa.array(np.where(some, x, 0.0)) for x in found)], names=[*part.rows.schema.names, *added])
 
-    return base.mapInArrow(apply, schema + "".join(f", {c} double" for c in added)).withColumn("quality_kept", F.col("quality_score") >= LEAST_SCORE)
+    return base.mapInArrow(apply, schema + "".join(f", `{c}` double" for c in added)).withColumn(kept, F.col(added[-1]) >= LEAST_SCORE)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,23 +164,23 @@ def _kept_model(model: LanguageModel) -> LanguageModel:
     return _models[model.key]
 
 
-def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
-    """``documents`` with lang_pred and lang_score (0 to 1); only the text is looked at.
+def identify(documents: DataFrame, model: LanguageModel, added: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``documents`` with lang_pred and lang_score (0 to 1), or ``added`` names; only the text is looked at.
 
     A null text, or one without a letter, is ``und`` with score 0, as is every
     text under a model without languages.  Columns of these names are replaced.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in documents.columns if c not in ("lang_pred", "lang_score")]
+    kept = [c for c in documents.columns if c not in added]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*[F.col(f"`{c}`") for c in kept]).schema.fields)
 
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = _kept_model(shared.value)
         for part in word_slices(batches):
             lang, score = _labels(fitted, part)
-            yield pa.RecordBatch.from_arrays([*part.rows.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*part.rows.schema.names, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*part.rows.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*part.rows.schema.names, *added])
 
-    return documents.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(label, f"{schema}, lang_pred string, lang_score double")
+    return documents.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(label, f"{schema}, `{added[0]}` string, `{added[1]}` double")
 
 
 def _labels(model: LanguageModel, part) -> tuple[list[str], np.ndarray]:

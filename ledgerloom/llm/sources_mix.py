@@ -63,23 +63,24 @@ def mix_plan(documents: DataFrame, weights: Sequence[int] = (5, 2, 1), max_rate:
     targets = source_targets(sized.select("source", F.col("mix_size").alias("size")), weights, max_rate)
     rows = targets.limit(BROADCAST_SOURCES + 1).collect()
     targets = spark.createDataFrame(rows, targets.schema) if len(rows) <= BROADCAST_SOURCES else targets
-    targets = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
+    targets = targets.select(F.col("source").alias("__mix_key"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
     sized = sized.drop("mix_source_size", "mix_target", "mix_copies")
     if len(rows) <= BROADCAST_SOURCES:
-        joined = sized.join(F.broadcast(targets), F.col("source").eqNullSafe(F.col("_source")), "left")
+        joined = sized.join(F.broadcast(targets), F.col("source").eqNullSafe(F.col("__mix_key")), "left")
     else:
-        sized = sized.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-        targets = targets.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
-        joined = sized.join(targets, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_salt") == F.col("_salt2")), "left").drop("_salt", "_salt2")
+        sized = sized.withColumn("__mix_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+        targets = targets.withColumn("__mix_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        joined = sized.join(targets, F.col("source").eqNullSafe(F.col("__mix_key")) & (F.col("__mix_salt") == F.col("__mix_salt2")), "left").drop("__mix_salt", "__mix_salt2")
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
     copies = F.floor(rate) + F.when(coin(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
-    return joined.drop("_source").withColumn("mix_copies", copies.cast("long"))
+    return joined.drop("__mix_key").withColumn("mix_copies", copies.cast("long"))
 
 
 def mix_documents(documents: DataFrame, weights: Sequence[int] = (5, 2, 1), max_rate: int = 3, seed: int = 17) -> DataFrame:
     """The mixed corpus: each document as often as its plan says, with the columns of ``documents``."""
-    plan = mix_plan(documents, weights, max_rate, seed).where("mix_copies > 0")
-    return plan.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(*[F.col(f"`{c}`") for c in documents.columns])
+    whole = documents.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    plan = mix_plan(whole, weights, max_rate, seed).where("mix_copies > 0")
+    return plan.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
