@@ -57,3 +57,22 @@ def test_frontier_and_quadrants(spark):
     assert rows(frontier(links, spark.createDataFrame([("a",)], "id string"))) == [("a", 0), ("b", 1), ("c", 2)]
     brief = spark.createDataFrame([(1, "## Strengths\n- one\n- two\n**Threats**\n- three\nrest")], "doc_id int, text string")
     assert rows(quadrants(brief)) == [(1, "strengths", ["one", "two"]), (1, "threats", ["three"])]
+
+
+def test_briefs(spark):
+    from ledgerloom.plans import briefs
+
+    hits = spark.createDataFrame([("s", "A sentence that is long enough to be counted as one of the long sentences here.", 0.9), ("t", "x", 0.1)], "source string, text string, score double")
+    said = briefs.ask(hits, "q")
+    assert said["answer"].startswith("A sentence") and "[t]" not in said["context"]
+    assert briefs.ask(hits, "q", lambda prompt, context: prompt.upper())["answer"] == "Q"
+    with pytest.raises(LookupError):
+        briefs.ask(hits, "q", least=0.95)
+    state = spark.createDataFrame([("v3:a", "old", "2024-01-01 00:00:00")], "cache_key string, payload string, g string").select("cache_key", "payload", F.col("g").cast("timestamp_ntz").alias("generated_at"))
+    assert briefs.cached(state, "a", lambda: "new", "2024-01-01 10:00:00")[0] == "old"
+    made, after = briefs.cached(state, "a", lambda: "new", "2024-01-01 13:00:00")
+    assert made == "new" and [r.payload for r in after.collect()] == ["new"]
+    assert briefs.cached(state, "b", lambda: None, "2024-01-01 13:00:00")[1] is state
+    import pandas as pd
+
+    assert [r.embedding for r in briefs.embed(hits, lambda texts: pd.Series([[1.0]] * len(texts))).collect()] == [[1.0], [1.0]]
