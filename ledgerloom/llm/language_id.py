@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.words import word_slices
+from ledgerloom.llm.words import small_batches, word_slices
 from ledgerloom.storage import materialize
 
 UNDETERMINED = "und"
@@ -25,6 +25,8 @@ UNDETERMINED = "und"
 SAMPLE_DOCUMENTS = 4_000
 #: Words, and n-grams of each length, a language that the model keeps (the most frequent).
 KEPT_WORDS, KEPT_GRAMS = 30_000, 8_000
+#: Words of all languages together; with many languages each keeps fewer words and n-grams.
+ALL_WORDS = 1_000_000
 LONGEST_GRAM = 5
 #: Languages a model may have (the most frequent labels).
 MOST_LANGUAGES = 200
@@ -119,12 +121,13 @@ def train(labelled: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Lang
     if not known:
         return LanguageModel("empty", [], {}, {}, np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
     draw = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)
-    counted = labelled.where(draw < rate[F.col("lang")]).select("text", "lang").mapInArrow(_word_counts, "lang string, item string, n long")
+    counted = small_batches(labelled).where(draw < rate[F.col("lang")]).select("text", "lang").mapInArrow(_word_counts, "lang string, item string, n long")
     words = materialize(counted.groupBy("lang", "item").agg(F.sum("n").alias("n")), "language-words")
     grams = words.mapInArrow(_gram_counts, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")).withColumn("size", F.length("item"))
     languages = sorted(r.lang for r in known)
-    found_words = _kept(words.withColumn("size", F.lit(0)), KEPT_WORDS)
-    found_grams = _kept(grams, KEPT_GRAMS)
+    part = min(1.0, ALL_WORDS / (KEPT_WORDS * len(languages)))
+    found_words = _kept(words.withColumn("size", F.lit(0)), int(KEPT_WORDS * part))
+    found_grams = _kept(grams, int(KEPT_GRAMS * part))
     word_index, word_scores = _posteriors(found_words, languages)
     gram_index, gram_scores = _posteriors(found_grams, languages)
     key = f"{len(word_index)}-{len(gram_index)}-{float(word_scores.sum())!r}"
@@ -180,7 +183,7 @@ def identify(documents: DataFrame, model: LanguageModel, added: tuple[str, str]
             lang, score = _labels(fitted, part)
             yield pa.RecordBatch.from_arrays([*part.rows.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*part.rows.schema.names, *added])
 
-    return documents.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(label, f"{schema}, `{added[0]}` string, `{added[1]}` double")
+    return small_batches(documents).select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(label, f"{schema}, `{added[0]}` string, `{added[1]}` double")
 
 
 def _labels(model: LanguageModel, part) -> tuple[list[str], np.ndarray]:
