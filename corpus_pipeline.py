@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import co_training, jaccard_join, language_id, packing, sources_mix, tokens
+from ledgerloom.operators.relational import first_seen
 from ledgerloom.storage import materialize
 
 #: A document whose language is no surer than this is rejected, as is one without a letter.
@@ -39,12 +40,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): the least doc_id, once.
 
-    Rows with a null id stay.
+    Of rows with one id the first by text stays.  Rows with a null id stay.
+    Ids that go are fewer than those that stay, so they are what is joined.
     """
-    found = jaccard_join.similar(docs, words=5, num=80, den=100)
-    kept = materialize(found.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _as(docs, chosen).unionByName(docs.where("doc_id is null"))
+    found = jaccard_join.similar(docs, words=5, num=80, den=100).where("doc_id is not null")
+    status = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"), F.count(F.lit(1)).alias("n"))
+    status = materialize(status.where("not first or n > 1"), "near-status")
+    kept = docs.join(status.where("not first").select("doc_id"), "doc_id", "left_anti")
+    repeated = status.where("first and n > 1").select("doc_id")
+    if not repeated.isEmpty():
+        again = kept.join(repeated, "doc_id", "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        again = first_seen(again, ["row.doc_id"], F.asc("row.text"), F.asc("row.source")).select("row.*")
+        kept = _as(docs, kept.join(repeated, "doc_id", "left_anti")).unionByName(again)
+    return _as(docs, kept)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,3 +91,8 @@ def test_bad_hosts_are_blocked(spark):
     outcomes = pages.select("page_id", (~F.col("url").contains("//h3.")).alias("good"))
     verdicts = {(r.host, r.verdict) for r in url_reputation.filter_urls(pages, outcomes, rules=()).collect()}
     assert ("h3.d1.org", "block") in verdicts and ("h0.d0.org", "allow") in verdicts and len(verdicts) == 4
+
+
+def test_near_copies_keep_one_of_each_group(spark, odd, tmp_path):
+    kept = corpus_pipeline.near_copies(spark, odd, str(tmp_path))
+    assert sorted((r.doc_id if r.doc_id is not None else -1) for r in kept.collect()) == [-1, *[i for i in range(11) if i not in (5, 10)]] or [r.doc_id for r in kept.collect()].count(4) == 1
