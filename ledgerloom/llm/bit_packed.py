@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import tokens
-from ledgerloom.llm.words import slices
+from ledgerloom.llm.words import slices, small_batches
 from ledgerloom.storage import materialize
 
 MAGIC, HEAD = b"LLBP", struct.Struct("<4sB3xIQII")
@@ -127,7 +127,7 @@ def token_files(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID)
             return row
 
         schema = pa.schema([("part", pa.int64()), ("file_no", pa.int64()), ("first_id", pa.int64()), ("n_documents", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
-        for rows, text in slices(batches):
+        for rows, text in slices(batches, limit=tokens.SLICE_BYTES):
             offsets, ids = encoder.encode(text)
             for k, key in enumerate(rows.column(0).to_pylist()):
                 own = np.append(ids[offsets[k] : offsets[k + 1]], np.uint32(end_id))
@@ -138,7 +138,7 @@ def token_files(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID)
         if keys:
             yield file()
 
-    ordered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return materialize(ordered.mapInArrow(pack, FILES), "token-files")
 
 

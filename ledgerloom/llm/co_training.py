@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.quality_rules import FEATURES, counts_of, shares_of
-from ledgerloom.llm.words import WordSlice, word_slices
+from ledgerloom.llm.words import WordSlice, small_batches, word_slices
 
 #: Labelled and unlabelled rows that the models are fitted on at most, the first by a hash of the id.
 LABELLED_ROWS, UNLABELLED_ROWS = 6_000, 6_000
@@ -190,7 +190,7 @@ def _views(documents: DataFrame, ids: DataFrame) -> DataFrame:
                 columns.append(at.astype("<i4").tobytes()), values.append((n / max(1, b - a)).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([part.rows.column(0), pa.array(columns, pa.binary()), pa.array(values, pa.binary()), pa.array([m.astype("<f4").tobytes() for m in meta], pa.binary())], names=["doc_id", "columns", "values", "meta"])
 
-    chosen = documents.select("doc_id", "text", *[F.col(c).cast("string").alias(c) for c in names]).join(F.broadcast(ids), "doc_id", "left_semi")
+    chosen = small_batches(documents).select("doc_id", "text", *[F.col(c).cast("string").alias(c) for c in names]).join(F.broadcast(ids), "doc_id", "left_semi")
     return chosen.mapInArrow(view, "doc_id long, columns binary, values binary, meta binary")
 
 
@@ -228,7 +228,7 @@ def score(documents: DataFrame, model: CoModel | None, names_added: tuple[str, s
     """
     *added, kept = names_added
     own = [c for c in documents.columns if c not in names_added]
-    base = documents.select(*[F.col(f"`{c}`") for c in own])
+    base = small_batches(documents).select(*[F.col(f"`{c}`") for c in own])
     names = _columns(documents)
     places = [own.index(c) for c in names]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)

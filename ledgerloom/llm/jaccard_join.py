@@ -16,6 +16,9 @@ document beyond it can link only to one that shares part of its difference, so
 it is looked up by the rare part of that difference, again with prefix bounds,
 in blocks of bounded size.  No pair is dropped: every pair that shares a prefix
 shingle is either verified, or known to be connected through the pivot.
+
+Before whole sets move, each candidate pair is weighed by signatures, bucket
+counts of the sets, whose difference bounds the sets' difference from below.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.words import GOLDEN, WordSlice, mix64, word_slices
+from ledgerloom.llm.words import GOLDEN, WordSlice, mix64, small_batches, word_slices
 from ledgerloom.storage import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,6 +51,8 @@ MOST_MATCHES, VERIFY_COST = 4, 20
 BLOCK = 2_048
 #: Differences up to this many shingles travel with their postings; longer ones are verified by the whole sets.
 CARRIED = 256
+#: Ids whose documents a bit filter of FILTER_BITS (16 MB) picks at the scan.
+FILTERED_IDS, FILTER_BITS, FILTER_ROWS = 16_000_000, 1 << 27, 256
 REMOVED = np.uint64(0xA5A5A5A55A5A5A5A)
 BLOCK_BYTES = 8 * ((1 << SKETCH_BITS) // SKETCH_ROWS)
 
@@ -246,16 +251,107 @@ def _postings(entries: DataFrame, at: Threshold) -> DataFrame:
     return entries.repartition("token").sortWithinPartitions("token", "x").mapInArrow(meet, MET)
 
 
-def _sets(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(v, s) the shingle sets of the wanted documents (v)."""
+def _filter(wanted: DataFrame) -> np.ndarray:
+    """A bit for the hash of each wanted id: tasks set bits in blocks, and the blocks come to the driver."""
+
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for batch in batches:
+            at = _filter_bit(batch.column(0).to_numpy())
+            np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        blocks = bits.reshape(FILTER_ROWS, -1)
+        some = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([pa.Codec("zstd").compress(blocks[i], asbytes=True) for i in some], pa.binary())], names=["row", "bits"])
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                block = np.frombuffer(pa.Codec("zstd").decompress(data, FILTER_BITS // FILTER_ROWS // 8), np.uint8)
+                total[row] = total[row] | block if row in total else block
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["row", "bits"])
+
+    out = np.zeros((FILTER_ROWS, FILTER_BITS // FILTER_ROWS // 8), np.uint8)
+    for r in wanted.select("v").coalesce(8).mapInArrow(mark, "row int, bits binary").repartition("row").mapInArrow(merge, "row int, bits binary").collect():  # FILTER_ROWS rows
+        out[r.row] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
+def _filter_bit(ids: np.ndarray) -> np.ndarray:
+    return (mix64(ids.view(np.uint64)) >> np.uint64(64 - FILTER_BITS.bit_length() + 1)).astype(np.int64)
+
+
+def _chosen(documents: DataFrame, wanted: DataFrame, make, kind: str) -> DataFrame:
+    """(v, made) of ``make(shingle set)`` for the wanted documents (v), and maybe for a few others.
+
+    Up to ``FILTERED_IDS`` ids a bit filter of fixed size picks the documents
+    where they are read, so no text is shuffled; beyond, a join picks them.
+    """
+    k, column = make
+    if wanted.count() <= FILTERED_IDS:
+        bits = documents.sparkSession.sparkContext.broadcast(_filter(wanted))
+        chosen = documents.select("doc_id", "text")
+    else:
+        bits = None
+        chosen = documents.select("doc_id", "text").join(wanted.select(F.col("v").alias("doc_id")), "doc_id", "left_semi")
 
     def take(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in word_slices(batches):
+        for part in word_slices(_picked(batches, bits)):
             sets = shingle_sets(part, k)
-            yield pa.RecordBatch.from_arrays([part.rows.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["v", "s"])
+            yield pa.RecordBatch.from_arrays([part.rows.column(0), pa.array([column(s) for s in sets], pa.binary())], names=["v", "s"])
+
+    return materialize(chosen.mapInArrow(take, "v long, s binary"), kind, "uncompressed")
 
-    chosen = documents.select("doc_id", "text").join(wanted.select(F.col("v").alias("doc_id")), "doc_id", "left_semi")
-    return materialize(chosen.mapInArrow(take, "v long, s binary"), "shingle-sets", "uncompressed")
+
+def _signature(shingles: np.ndarray) -> bytes:
+    """Counts of the set's shingles by hash bucket, about one bucket a shingle, at most 255 each.
+
+    Buckets are the low bits of the hash, so a signature folds to one of half
+    the length by adding its halves.
+    """
+    size = 1 << max(4, (len(shingles) - 1).bit_length())
+    counts = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of two sets' difference: the sum of their buckets' differences (none if a bucket is at 255)."""
+    x, y = np.frombuffer(a, np.uint8).astype(np.int32), np.frombuffer(b, np.uint8).astype(np.int32)
+    if x.max() == 255 or y.max() == 255:
+        return 0
+    while len(x) > len(y):
+        x = x[: len(x) // 2] + x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] + y[len(y) // 2 :]
+    return int(np.abs(x - y).sum())
+
+
+def _promising(pairs: DataFrame, at: Threshold) -> DataFrame:
+    """Pairs (a, b) with their signatures (sa, sb) whose sets may link."""
+
+    def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for sa, sb in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                sizes = sum(sa) + sum(sb)
+                keep.append(at.links(_least_difference(sa, sb), sizes) or 255 in sa or 255 in sb)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
+
+    return materialize(pairs.mapInArrow(weigh, "a long, b long"), "pairs")
+
+
+def _picked(batches: Iterable[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if bits is None:
+            yield batch
+            continue
+        at = _filter_bit(batch.column(0).fill_null(0).to_numpy())
+        yield batch.filter(pa.array((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -353,7 +449,7 @@ def similar(documents: DataFrame, words: int = 4, num: int = 85, den: int = 100)
     a null component; an empty table gives an empty one.
     """
     at = Threshold(num, den)
-    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    documents = small_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     scanned = _scan(documents, words)
     rows = scanned.where("row is null").select("doc_id", "n", "fp")
     sketch = documents.sparkSession.sparkContext.broadcast(_sketch(scanned))
@@ -371,17 +467,20 @@ def similar(documents: DataFrame, words: int = 4, num: int = 85, den: int = 100)
     to_pivot = materialize(hot.select("token", "x").join(pivots, "token").where("x <> r").select(F.col("x").alias("a"), F.col("r").alias("b")).distinct(), "to-pivot")
     pairs = materialize(pairs, "pairs")
 
-    wanted = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).union(to_pivot.select("a")).union(to_pivot.select("b")).distinct()
-    sets = _sets(documents, materialize(wanted, "wanted"), words)
+    signatures = _chosen(documents, materialize(_ends(pairs), "wanted"), (words, _signature), "signatures")
+    pairs = _promising(_with_sets(pairs, signatures), at)
+
+    sets = _chosen(documents, materialize(_ends(to_pivot), "wanted"), (words, np.ndarray.tobytes), "shingle-sets")
     differences = _differences(_with_sets(to_pivot, sets), sketch, at)
     far = _far_links(differences, at)
-    unsure = far.where("not sure").select("a", "b").union(pairs).distinct()
+    unsure = materialize(far.where("not sure").select("a", "b").union(pairs).distinct(), "pairs")
+    sets = _chosen(documents, materialize(_ends(unsure), "wanted"), (words, np.ndarray.tobytes), "shingle-sets")
     links = _verified(_with_sets(unsure, sets), at).union(differences.where("near").select("x", "r")).union(far.where("sure").select("a", "b"))
     found = components(links)
 
     labelled = classes.join(found, F.col("rep") == F.col("v"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
     labelled = materialize(labelled, "classes")
-    return rows.join(labelled, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return rows.join(labelled, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.words import slices
+from ledgerloom.llm.words import slices, small_batches
 
 UNIT = 192
 FRAME_UNITS = 16
@@ -327,7 +327,7 @@ def text_media(documents: DataFrame, frame_units: int = FRAME_UNITS) -> DataFram
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(d) for d in data], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(store, f"doc_id {kind}, n_bytes long, media binary")
+    return small_batches(documents).select("doc_id", "text").mapInArrow(store, f"doc_id {kind}, n_bytes long, media binary")
 
 
 def clips(media: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import tokens
-from ledgerloom.llm.words import slices
+from ledgerloom.llm.words import slices, small_batches
 from ledgerloom.storage import materialize
 
 WINDOW = 4096
@@ -52,7 +52,7 @@ def token_table(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID)
         encoder, part = tokens.encoder(tokenizer_path), TaskContext.get().partitionId()
         queues: dict[str | None, int] = {}
         number = 0
-        for rows, text in slices(batches):
+        for rows, text in slices(batches, limit=tokens.SLICE_BYTES):
             offsets, ids = encoder.encode(text)
             sources, local, sizes, data = rows.column(1).to_pylist(), [], [], []
             for k, source in enumerate(sources):
@@ -66,7 +66,7 @@ def token_table(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID)
             number += n
 
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-    return materialize(chosen.mapInArrow(encode, TOKENS), "packing-tokens")
+    return materialize(small_batches(chosen).mapInArrow(encode, TOKENS), "packing-tokens")
 
 
 def _stored(ids: np.ndarray, vocabulary: int) -> bytes:

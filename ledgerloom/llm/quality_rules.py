@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.words import GOLDEN, WordSlice, mix64, word_slices
+from ledgerloom.llm.words import GOLDEN, WordSlice, mix64, small_batches, word_slices
 
 REPEAT_WINDOW = 5
 #: Labelled rows that rules are learned from at most, the first by a hash of the id.
@@ -127,7 +127,7 @@ def statistics(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.rows.column(0), *(pa.array(found[c].astype(np.int64)) for c in COUNTS)], names=["doc_id", *COUNTS])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, {STATS}")
+    return small_batches(documents).select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, {STATS}")
 
 
 def feature(name: str) -> Column:

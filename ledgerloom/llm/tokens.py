@@ -24,6 +24,8 @@ from ledgerloom.llm.words import split
 KEPT_PIECES = 300_000
 #: Pieces that are encoded as one text.
 JOINED = 20_000
+#: Text bytes that are encoded at once.
+SLICE_BYTES = 8 << 20
 #: A space after another white-space character: the cut before it is not safe.
 GAP_RUN = r"[\s\x0b\x1c-\x1f\x{85}\pZ] "
 

@@ -13,9 +13,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Text bytes of a slice; a longer document is a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+#: Rows of an Arrow batch between Spark and Python; its buffers on both sides grow with them.
+BATCH_ROWS = 1_000
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -33,19 +36,49 @@ class WordSlice:
         return np.diff(self.offsets)
 
 
+def small_batches(documents: DataFrame) -> DataFrame:
+    """``documents``, with Arrow batches of BATCH_ROWS rows unless the session has set a number of its own."""
+    conf = documents.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return documents
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Row slices of at most ``limit`` text bytes, or one row, with the text column (nulls as '')."""
+    """Rows of about ``limit`` text bytes, or one longer row, with the text column (nulls as '')."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        text = pc.fill_null(batch.column(batch.schema.get_field_index(column)), "")
-        ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
-        start = 0
-        while start < batch.num_rows:
-            base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
-            yield batch.slice(start, stop - start), text.slice(start, stop - start)
-            start = stop
+        for rows in _cut(batch, column, limit):
+            more = _text_bytes(rows, column)
+            if held and size + more > limit:
+                yield _joined(held, column)
+                held, size = [], 0
+            held.append(rows)
+            size += more
+    if held:
+        yield _joined(held, column)
+
+
+def _text_bytes(rows: pa.RecordBatch, column: str) -> int:
+    return pc.sum(pc.binary_length(rows.column(rows.schema.get_field_index(column)))).as_py() or 0
+
+
+def _joined(held: list[pa.RecordBatch], column: str) -> tuple[pa.RecordBatch, pa.Array]:
+    rows = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    return rows, pc.fill_null(rows.column(rows.schema.get_field_index(column)), "")
+
+
+def _cut(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def split(text: pa.Array) -> tuple[np.ndarray, pa.Array]:

@@ -249,3 +249,12 @@ def test_mix_comes_near_its_targets(spark):
     found = queries.QUERIES["op10_source_mix"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source"), "doc_id")
     for r in found.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).collect():
         assert abs(r.taken - r.target) < 0.45 * r.target and r.over <= 0
+
+
+def test_signatures_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 1), (5, 40), (300, 310), (1000, 1100), (600, 520)):
+        x = rng.integers(0, 2**63, n, dtype=np.uint64)
+        y = np.concatenate((x[: n // 2], rng.integers(0, 2**63, m - n // 2, dtype=np.uint64)))
+        bound = jaccard_join._least_difference(jaccard_join._signature(np.unique(x)), jaccard_join._signature(np.unique(y)))
+        assert 0 <= bound <= len(np.setxor1d(x, y)) and (n < 300 or bound > 0.4 * len(np.setxor1d(x, y)))
