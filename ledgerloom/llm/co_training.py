@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.held import held
 from ledgerloom.llm.quality_rules import FEATURES, counts_of, shares_of
 from ledgerloom.llm.words import WordSlice, small_batches, word_slices
 
@@ -31,6 +32,8 @@ ROUNDS, SURE, SHARE_A_ROUND = 3, 0.95, 0.1
 STEPS, RATE, RIDGE = 120, 0.1, 1e-4
 #: Documents with at least this score are kept.
 LEAST_SCORE = 0.35
+#: Words that a worker keeps with their weight.
+CACHED_WORDS = 300_000
 META = ["log_words", "log_lines", "words_a_line", *FEATURES]
 
 
@@ -127,6 +130,25 @@ class CoModel:
     mean: np.ndarray
     spread: np.ndarray
     platt: tuple[tuple[float, float], tuple[float, float]]
+    cache: dict[str, float] = field(default_factory=dict)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"cache": {}}
+
+    @property
+    def key(self) -> tuple[float, float]:
+        return float(np.abs(self.text[0]).sum()), float(np.abs(self.meta[0]).sum())
+
+    def word_weights(self, words: list[str]) -> np.ndarray:
+        """Each word's weight in the text model."""
+        found = np.fromiter((self.cache.get(w, np.nan) for w in words), np.float64, len(words))
+        missing = np.flatnonzero(np.isnan(found))
+        if len(missing):
+            new = [words[i] for i in missing]
+            found[missing] = self.text[0][_buckets(new)].sum(axis=1)
+            room = max(0, CACHED_WORDS - len(self.cache))
+            self.cache.update(zip(new[:room], found[missing[:room]].tolist()))
+        return found
 
     def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated text, metadata and joint scores from both views' raw log odds."""
@@ -235,15 +257,15 @@ def score(documents: DataFrame, model: CoModel | None, names_added: tuple[str, s
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
+        model = shared.value
+        fitted = held(("co-training", model and model.key), lambda: model)
         for part in word_slices(batches):
             n = part.rows.num_rows
             found = (np.ones(n),) * 3
             if fitted is not None:
-                weights, bias = fitted.text
-                each = weights[_buckets(part.words.to_pylist())].sum(axis=1)
+                each = fitted.word_weights(part.words.to_pylist())
                 documents_of = np.repeat(np.arange(n), part.counts)
-                z = 10 * np.bincount(documents_of, weights=each[part.codes], minlength=n) / np.maximum(part.counts, 1) + bias
+                z = 10 * np.bincount(documents_of, weights=each[part.codes], minlength=n) / np.maximum(part.counts, 1) + fitted.text[1]
                 meta = (_meta(part, [part.rows.column(p).cast(pa.string()).to_pylist() for p in places]) - fitted.mean) / fitted.spread
                 found = fitted.scores(z, meta @ fitted.meta[0] + fitted.meta[1])
             some = part.counts > 0

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.held import held
 from ledgerloom.llm.words import small_batches, word_slices
 from ledgerloom.storage import materialize
 
@@ -32,7 +33,8 @@ LONGEST_GRAM = 5
 MOST_LANGUAGES = 200
 #: Words of evidence at most; more text makes a score no surer.
 EVIDENCE = 30
-CACHED_WORDS = 300_000
+#: Words that a worker keeps with their scores, and scores of all of them (with many languages it keeps fewer words).
+CACHED_WORDS, CACHED_SCORES = 300_000, 2_000_000
 EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»“”„’‘¿¡…–—"
 
 
@@ -45,10 +47,25 @@ class LanguageModel:
     word_scores: np.ndarray  # log posterior by word and language
     gram_scores: np.ndarray
     cache: dict[str, int] = field(default_factory=dict)
-    rows: list[np.ndarray] = field(default_factory=list)
+    cached: np.ndarray | None = None  # scores by the cache's places
+    filled: int = 0
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}, "rows": []}
+        return self.__dict__ | {"cache": {}, "cached": None, "filled": 0}
+
+    def keep(self, raw: str, row: np.ndarray | None) -> None:
+        """Remember a word's score while there is room; -1 stands for no letter."""
+        most = min(CACHED_WORDS, CACHED_SCORES // len(self.languages))
+        if len(self.cache) >= most:
+            return
+        if row is None:
+            self.cache[raw] = -1
+            return
+        if self.cached is None:
+            self.cached = np.empty((most, len(self.languages)), np.float32)
+        self.cached[self.filled] = row
+        self.cache[raw] = self.filled
+        self.filled += 1
 
     def score(self, raw: str) -> np.ndarray | None:
         """Log posterior of one word as written; None where it has no letter."""
@@ -156,15 +173,9 @@ def _posteriors(found, languages: list[str]) -> tuple[dict[str, int], np.ndarray
     return items, out.astype(np.float32)
 
 
-_models: dict[str, LanguageModel] = {}
-
-
 def _kept_model(model: LanguageModel) -> LanguageModel:
     """The worker's copy of the model, with the words it has scored so far."""
-    if model.key not in _models:
-        _models.clear()
-        _models[model.key] = model
-    return _models[model.key]
+    return held(("language", model.key), lambda: model)
 
 
 def identify(documents: DataFrame, model: LanguageModel, added: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
@@ -191,18 +202,14 @@ def _labels(model: LanguageModel, part) -> tuple[list[str], np.ndarray]:
     if not width:
         return [UNDETERMINED] * n, np.zeros(n)
     table = np.zeros((len(part.words), width), np.float32)
-    known = np.zeros(len(part.words), bool)
-    cache = model.cache
-    for i, word in enumerate(part.words.to_pylist()):
-        at = cache.get(word)
-        if at is None:
-            row = model.score(word)
-            if len(cache) < CACHED_WORDS:
-                cache[word] = len(model.rows) if row is not None else -1
-                if row is not None:
-                    model.rows.append(row)
-        else:
-            row = model.rows[at] if at >= 0 else None
+    words = part.words.to_pylist()
+    places = np.fromiter((model.cache.get(w, -2) for w in words), np.int64, len(words))
+    known = places >= 0
+    if known.any():
+        table[known] = model.cached[places[known]]
+    for i in np.flatnonzero(places == -2).tolist():
+        row = model.score(words[i])
+        model.keep(words[i], row)
         if row is not None:
             table[i], known[i] = row, True
     documents = np.repeat(np.arange(n), part.counts)

@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from ledgerloom.llm.held import held
 from ledgerloom.llm.words import split
 
 #: Distinct pieces that a worker keeps; later ones are encoded anew in each slice.
@@ -29,15 +30,9 @@ SLICE_BYTES = 8 << 20
 #: A space after another white-space character: the cut before it is not safe.
 GAP_RUN = r"[\s\x0b\x1c-\x1f\x{85}\pZ] "
 
-_loaded: dict[str, "PieceEncoder"] = {}
-
-
 def encoder(path: str) -> "PieceEncoder":
     """The worker's encoder for ``path``, loaded once."""
-    if path not in _loaded:
-        _loaded.clear()
-        _loaded[path] = PieceEncoder(path)
-    return _loaded[path]
+    return held(("encoder", path), lambda: PieceEncoder(path))
 
 
 def _kind(path: str) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerloom.llm import bit_packed, co_training, jaccard_join, language_id, license_scan, motion_jpeg, packing, quality_rules, sources_mix, tokens, url_reputation
+from ledgerloom.llm.held import held
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, size long, _copy int, mix_size long, lang_pred string, n_words long"
 
@@ -96,3 +97,28 @@ def test_bad_hosts_are_blocked(spark):
 def test_near_copies_keep_one_of_each_group(spark, odd, tmp_path):
     kept = corpus_pipeline.near_copies(spark, odd, str(tmp_path))
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == [-1, *(i for i in range(11) if i != 5)]
+
+
+def test_a_worker_holds_one_object():
+    first = held("a", lambda: [1])
+    assert held("a", lambda: [2]) is first and held("b", lambda: [3]) == [3] and held("a", lambda: [4]) == [4]
+
+
+def test_kept_words_score_as_new_ones(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from ledgerloom.llm.words import word_slices
+
+    batch = pa.RecordBatch.from_pydict({"text": ["hund cat 12 hund", "zz 12", None, "cat cat"]})
+    scores = []
+    for most in (0, 2, 100):
+        monkeypatch.setattr(language_id, "CACHED_WORDS", most)
+        monkeypatch.setattr(co_training, "CACHED_WORDS", most)
+        model = language_id.LanguageModel("t", ["a", "b"], {"hund": 0}, {"at$": 0}, np.log(np.array([[0.9, 0.1]], np.float32)), np.log(np.array([[0.2, 0.8]], np.float32)))
+        co = co_training.CoModel((np.random.default_rng(0).random(1 << co_training.TEXT_BITS), 0.0), (np.zeros(1), 0.0), None, None, None)
+        for _ in range(3):
+            labels, score = language_id._labels(model, next(word_slices([batch])))
+            scores.append((labels, score.tolist(), co.word_weights(["x", "Yy", "z"]).tolist()))
+        assert len(model.cache) <= most and len(co.cache) <= most
+    assert all(s == scores[0] for s in scores) and scores[0][0][0] == "a" and scores[0][0][2:] == ["und", "b"]
