@@ -15,7 +15,6 @@ from ledgerloom.plans.domain import view
 from ledgerloom.plans.registry import register, sql_lakhs, sql_percent
 
 AS_OF = "2000-06-30"
-TIES = [F.desc("tiebreak_1"), F.desc("tiebreak_2"), F.desc("tiebreak_3"), F.desc("princ_os"), F.desc_nulls_last("charg_due")]
 SQL_LATEST = f"""latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account_num ORDER BY effective_date DESC, tiebreak_1 DESC, tiebreak_2 DESC, tiebreak_3 DESC, princ_os DESC, charg_due DESC NULLS LAST) AS rn
   FROM v_asset_history WHERE effective_date <= DATE '{AS_OF}') WHERE rn = 1)"""
 IN_BOOK = f"(sanc_date IS NULL OR sanc_date <= DATE '{AS_OF}')"
@@ -28,7 +27,8 @@ def in_book(as_of: str) -> Column:
 
 
 def latest_assets(history: DataFrame, as_of: str) -> DataFrame:
-    return latest_as_of(history, "account_num", "effective_date", as_of, TIES)
+    ties = [F.desc("tiebreak_1"), F.desc("tiebreak_2"), F.desc("tiebreak_3"), F.desc("princ_os"), F.desc_nulls_last("charg_due")]
+    return latest_as_of(history, "account_num", "effective_date", as_of, ties)
 
 
 def book_outstanding() -> Column:
