@@ -1,13 +1,14 @@
 """Retrieval over collections: dense, lexical, fused and federated search, and context packing.
 
-Queries come with the request: their bound is checked, and they go to every
-task, so each chunk is scored where it lies and each task keeps its own best k
-per query before anything is shuffled.
+Queries come with the request: they go to every task in blocks of bounded size,
+so each chunk is scored where it lies and each task keeps its own best k per
+query before anything is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,10 @@ from ledgerloom.functions import text as T
 from ledgerloom.operators.relational import first_seen, prefix_budget, top_k, top_k_per_group, union_all
 from ledgerloom.plans.domain import table, view
 from ledgerloom.plans.registry import register
+from ledgerloom.storage import materialize, materialize_all
 
-#: Queries of one request at most.
-MOST_QUERIES = 10_000
+#: Queries that go to the tasks at once: a matrix of 8 MB at 1,024 dimensions.
+MOST_QUERIES = 1_000
 
 
 def bounded(queries: DataFrame, most: int = MOST_QUERIES) -> list:
@@ -31,14 +33,51 @@ def bounded(queries: DataFrame, most: int = MOST_QUERIES) -> list:
     return rows
 
 
-def dense_topk(points: DataFrame, queries: DataFrame, k: int = 5, per_collection: bool = False) -> DataFrame:
+def query_blocks(queries: DataFrame, most: int = MOST_QUERIES) -> Iterator[list]:
+    """All queries as lists of at most ``most`` rows, each read when it is asked for.
+
+    Up to ``most`` queries are one list.  More are numbered within their tasks
+    and written once, so the driver holds the rows of one list, and a count for
+    each ``most`` rows of a task.
+    """
+    rows = queries.limit(most + 1).collect()
+    if len(rows) <= most:
+        yield rows
+        return
+    at = F.col("_at")
+    numbered = queries.withColumn("_at", F.monotonically_increasing_id())
+    written = materialize(numbered.withColumn("_block", at - at.bitwiseAND(F.lit((1 << 33) - 1)) % most), "queries")
+    members: list[int] = []
+    held = 0
+    for block, n in written.groupBy("_block").count().orderBy("_block").collect():
+        if held + n > most:
+            yield bounded(written.where(F.col("_block").isin(members)).drop("_at", "_block"), most)
+            members, held = [], 0
+        members.append(block)
+        held += n
+    yield bounded(written.where(F.col("_block").isin(members)).drop("_at", "_block"), most)
+
+
+def dense_topk(points: DataFrame, queries: DataFrame, k: int = 5, per_collection: bool = False, block: int = MOST_QUERIES) -> DataFrame:
     """(query_id, collection, point_id, score, hit_rank): the k nearest points of each query, over all or in each collection.
 
     Embeddings have unit length, so a score is a cosine.  Each task multiplies
-    its batches with the queries' matrix and passes on its own best k; ties go
-    to the smaller point_id.  Points without an embedding are left out.
+    its batches with the matrix of one block of queries and passes on its own
+    best k; ties go to the smaller point_id.  Points without an embedding are
+    left out.  Several blocks go over the points one after another, and the
+    best k of each are written to the shared folder.
     """
-    rows = bounded(queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("embedding")))
+    vectors = queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    blocks = query_blocks(vectors, block)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        return _block_topk(points, first, k, per_collection)
+    return materialize_all((_block_topk(points, rows, k, per_collection) for rows in chain((first, second), blocks)), "dense_topk")
+
+
+def _block_topk(points: DataFrame, rows: list, k: int, per_collection: bool) -> DataFrame:
+    """dense_topk for the queries of one block."""
     ids = [r.query_id for r in rows]
     matrix = np.array([r.embedding for r in rows], np.float64)
 

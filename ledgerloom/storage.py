@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,11 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` below the shared folder and return a DataFrame that reads it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ledgerloom/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return materialize_all([df], tag, compression)
+
+
+def materialize_all(parts: Iterable[DataFrame], tag: str, compression: str = "zstd") -> DataFrame:
+    """Write DataFrames of one schema, one after another, and return a DataFrame that reads all of them."""
+    path = None
+    for df in parts:
+        spark, schema = df.sparkSession, df.schema
+        if path is None:
+            path = f"{shared_dir(spark)}/ledgerloom/{tag}-{uuid.uuid4().hex}"
+            atexit.register(_drop, spark, path)
+        df.write.mode("append").option("compression", compression).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
