@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
@@ -258,7 +258,10 @@ def brief_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brief_blocks(_docs(spark, sf_dir)).select("doc_id", "block", "kind", F.md5("text").alias("digest"))
 
 
-def quadrants(documents: DataFrame, headings: Sequence[str] = ("Strengths", "Weaknesses", "Opportunities", "Threats")) -> DataFrame:
+HEADINGS = ("Strengths", "Weaknesses", "Opportunities", "Threats")
+
+
+def quadrants(documents: DataFrame, headings: Sequence[str] = HEADINGS) -> DataFrame:
     """(doc_id, quadrant, items): bullets under the last heading before them."""
     rows = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     name = F.regexp_extract(F.lower("line"), f"^[#*\\s]*({'|'.join(h.lower() for h in headings)})\\b", 1)
@@ -268,8 +271,18 @@ def quadrants(documents: DataFrame, headings: Sequence[str] = ("Strengths", "Wea
     return items.groupBy("doc_id", "quadrant").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: F.regexp_replace(s["line"], r"^\s*[-*•]\s+", "")).alias("items"))
 
 
+def four_part_brief(text: Column, headings: Sequence[str] = HEADINGS) -> Column:
+    """A text's lines as bullets under the headings: the first share of the lines under the first one, and so on."""
+    lines, parts = F.split(text, "\n"), len(headings)
+    blocks = []
+    for i, heading in enumerate(headings):
+        start, end = (F.floor(F.size(lines) * j / parts).cast("int") for j in (i, i + 1))
+        blocks += [F.array(F.lit(f"### {heading}")), F.transform(F.slice(lines, start + 1, end - start), lambda line: F.concat(F.lit("- "), line))]
+    return F.array_join(F.concat(*blocks), "\n")
+
+
 @register("swot_quadrants")
 def quadrants_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source's documents as a four-part brief, then parsed again."""
-    docs = _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("### Strengths\n- "), F.substring_index("text", "\n", 1), F.lit("\n### Threats\n- "), F.substring_index("text", "\n", -1)).alias("text"))
+    """All lines of each document as a four-part brief, then parsed again."""
+    docs = _docs(spark, sf_dir).select("doc_id", four_part_brief(F.col("text")).alias("text"))
     return quadrants(docs).select("doc_id", "quadrant", F.size("items").alias("n"), F.md5(F.array_join("items", "|")).alias("digest"))

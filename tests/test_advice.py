@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerloom.plans import retrieval
+from ledgerloom.plans.documents import HEADINGS, quadrants_query
 
 
 def rows(df):
@@ -35,3 +39,17 @@ def test_more_queries_than_the_old_bound(spark):
     points = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [0.0, 0.5])], "point_id long, collection string, embedding array<double>")
     found = retrieval.dense_topk(points, queries, 1)
     assert found.count() == 10_500 and {r.point_id for r in found.where("query_id % 2 = 0").collect()} == {2}
+
+
+def test_briefs_hold_all_lines(spark, tmp_path):
+    """Every line of a document is an item of a quadrant, as a brute-force parser finds them."""
+    texts = ["a\nb\nc\nd\ne\nf\ng\nh\ni", "one", "", "x\n\n  y\n- z\nThreats here\n### Strengths\n* w", "p\nq", "\n".join(f"line {i}" for i in range(5_000)), None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "length(text) AS n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    wanted = []
+    for i, text in enumerate(texts):
+        lines = [] if text is None else text.split("\n")
+        for q, heading in enumerate(HEADINGS):
+            items = [re.sub(r"^\s*[-*•]\s+", "", f"- {line}") for line in lines[len(lines) * q // 4 : len(lines) * (q + 1) // 4]]
+            if items:
+                wanted.append((i, heading.lower(), len(items), hashlib.md5("|".join(items).encode()).hexdigest()))
+    assert rows(quadrants_query(spark, str(tmp_path))) == sorted(wanted, key=repr)
