@@ -7,7 +7,7 @@ query before anything is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text as T
 from ledgerloom.operators.relational import first_seen, prefix_budget, top_k, top_k_per_group, union_all
 from ledgerloom.plans.domain import table, view
-from ledgerloom.plans.registry import register
+from ledgerloom.plans.registry import ORACLES, register
 from ledgerloom.storage import materialize, materialize_all
 
 #: Queries that go to the tasks at once: a matrix of 8 MB at 1,024 dimensions.
@@ -119,26 +119,33 @@ def term_overlap(chunks: DataFrame, query: str, k: int) -> DataFrame:
     return found.withColumn("_some", some).where((F.col("score") > 0) | ~F.col("_some")).drop("_some")
 
 
-def directory_search(chunks: DataFrame, query: str, k: int) -> DataFrame:
-    """Chunks that hold most distinctive query terms, five more for the whole phrase, with an excerpt and a score of at most 0.99."""
+def directory_hits(chunks: DataFrame, query: str, k: int) -> DataFrame:
+    """(doc_id, hit_rank, whole, text, score): chunks that hold most distinctive query terms, five more for the whole phrase, with an excerpt and a score of at most 0.99."""
     one = chunks.sparkSession.range(1).select(T.directory_terms(F.lit(query)).alias("phrase_terms")).select("phrase_terms", T.core_terms(F.col("phrase_terms")).alias("core")).first()
     terms, core = list(one.phrase_terms or []), list(one.core or [])
     if not core:
-        return chunks.select("doc_id", F.lit("").alias("text"), F.lit(0.0).alias("score")).limit(0)
+        return chunks.select("doc_id", F.lit(0).alias("hit_rank"), F.lit("").alias("whole"), F.lit("").alias("text"), F.lit(0.0).alias("score")).limit(0)
     phrase = " ".join(terms)
     low = chunks.withColumn("_low", F.lower("text"))
     matches = sum((F.col("_low").contains(t).cast("int") for t in core[1:]), F.col("_low").contains(core[0]).cast("int"))
     whole = F.col("_low").contains(phrase)
     scored = low.withColumn("_score", matches + F.when(whole & F.lit(len(terms) > 1), 5).otherwise(0)).where(matches > 0)
-    best = top_k(scored, k, F.desc("_score"), F.asc("doc_id"))
+    order = F.desc("_score"), F.asc("doc_id")
+    best = top_k(scored, k, *order).withColumn("hit_rank", F.row_number().over(Window.orderBy(*order)))
     at = F.when(whole, F.instr("_low", phrase)).otherwise(F.instr("_low", core[0]))
-    return best.select("doc_id", T.excerpt(F.col("text"), F.greatest(at, F.lit(1))).alias("text"), F.least(F.lit(0.99), F.round(0.5 + F.lit("0.08").cast("decimal(4,2)").cast("double") * F.col("_score"), 2)).alias("score"))
+    return best.select("doc_id", "hit_rank", F.col("text").alias("whole"), T.excerpt(F.col("text"), F.greatest(at, F.lit(1))).alias("text"), F.least(F.lit(0.99), F.round(0.5 + F.lit("0.08").cast("decimal(4,2)").cast("double") * F.col("_score"), 2)).alias("score"))
+
+
+def directory_search(chunks: DataFrame, query: str, k: int) -> DataFrame:
+    """directory_hits as (doc_id, text, score)."""
+    return directory_hits(chunks, query, k).select("doc_id", "text", "score")
 
 
-def federated(parts: list[DataFrame], most: int) -> DataFrame:
-    """Hits of several collections (collection_no, hit_rank, text, score): a text's first hit in collection order stays, then the best."""
-    once = first_seen(union_all(*parts), [F.left(F.col("text"), F.lit(300))], F.asc("collection_no"), F.asc("hit_rank"))
-    return top_k(once, most, F.desc("score"), F.asc("collection_no"), F.asc("hit_rank"))
+def federated(parts: list[DataFrame], most: int, by: Sequence[str] = ()) -> DataFrame:
+    """Hits of several collections (collection_no, hit_rank, text, score): a text's first hit in collection order stays, then the best; of each query where ``by`` names its key."""
+    once = first_seen(union_all(*parts), [*by, F.left(F.col("text"), F.lit(300))], F.asc("collection_no"), F.asc("hit_rank"))
+    order = F.desc("score"), F.asc("collection_no"), F.asc("hit_rank")
+    return top_k_per_group(once, by, most, *order) if by else top_k(once, most, *order)
 
 
 def context(hits: DataFrame, by: list[str], budget: int, *order: Column) -> DataFrame:
@@ -205,12 +212,27 @@ t AS (SELECT collection_no, hit_rank, 'point ' || (point_id % 50) AS text, score
 UNION ALL SELECT 0, CAST(row_number() OVER (ORDER BY s.m DESC, doc_id) AS INTEGER), left(text, 300), least(0.99, 0.5 + 0.08 * s.m) FROM (SELECT doc_id, text, CAST(contains(lower(text), 'apache') AS INTEGER) AS m FROM documents) s WHERE m > 0 QUALIFY row_number() OVER (ORDER BY s.m DESC, doc_id) <= 2),
 f AS (SELECT *, row_number() OVER (PARTITION BY left(text, 300) ORDER BY collection_no, hit_rank) AS r FROM t QUALIFY r = 1) SELECT collection_no, hit_rank, text, {SQL_ROUNDED} FROM f ORDER BY f.score DESC, collection_no, hit_rank LIMIT 8""", ("v_points",))
 def federated_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dense = dense_topk(view(spark, sf_dir, "v_points"), _queries(spark, sf_dir).where("query_id = 0"), 2, per_collection=True)
-    dense = dense.select((F.substring("collection", 5, 9).cast("int") + 1).alias("collection_no"), "hit_rank", F.concat(F.lit("point "), (F.col("point_id") % 50).cast("string")).alias("text"), "score")
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    low = top_k(documents.where(F.lower("text").contains("apache")), 2, F.asc("doc_id"))
-    lexical = low.select(F.lit(0).alias("collection_no"), F.row_number().over(Window.orderBy("doc_id")).alias("hit_rank"), F.left("text", F.lit(300)).alias("text"), F.lit(0.58).alias("score"))
-    return _rounded(federated([dense, lexical], 8))
+    lexical = directory_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), "apache", 2)
+    lexical = lexical.select(F.lit(0).alias("collection_no"), "hit_rank", F.left("whole", F.lit(300)).alias("text"), "score")
+    return _rounded(federated([_dense_hits(spark, sf_dir, _queries(spark, sf_dir).where("query_id = 0")).drop("query_id"), lexical], 8))
+
+
+def _dense_hits(spark: SparkSession, sf_dir: str, queries: DataFrame) -> DataFrame:
+    """Two hits of each query in each collection, as federated() takes them."""
+    dense = dense_topk(view(spark, sf_dir, "v_points"), queries, 2, per_collection=True)
+    return dense.select("query_id", (F.substring("collection", 5, 9).cast("int") + 1).alias("collection_no"), "hit_rank", F.concat(F.lit("point "), (F.col("point_id") % 50).cast("string")).alias("text"), "score")
+
+
+@register("federated_search_all", f"""WITH {SQL_SCORES}, h AS (SELECT query_id, point_id, score, 1 + CAST(substr(collection, 5) AS INTEGER) AS collection_no, CAST(row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, point_id) AS INTEGER) AS hit_rank FROM s QUALIFY hit_rank <= 2),
+l AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS hit_rank, text, score FROM ({ORACLES["directory_lexical_search"]}) d QUALIFY hit_rank <= 2),
+t AS (SELECT query_id, collection_no, hit_rank, 'point ' || (point_id % 50) AS text, score FROM h UNION ALL SELECT query_id, 0, hit_rank, text, score FROM l, (SELECT query_id FROM q) q),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id, left(text, 300) ORDER BY collection_no, hit_rank) AS r FROM t QUALIFY r = 1) SELECT query_id, collection_no, hit_rank, text, {SQL_ROUNDED} FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY f.score DESC, collection_no, hit_rank) <= 8""", ("v_points",))
+def federated_all_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """federated_search of every query, with the directory search's own hits."""
+    queries = _queries(spark, sf_dir)
+    lexical = directory_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), DIRECTORY_QUESTION, 2)
+    lexical = queries.select("query_id").crossJoin(F.broadcast(lexical.select(F.lit(0).alias("collection_no"), "hit_rank", "text", "score")))
+    return _rounded(federated([_dense_hits(spark, sf_dir, queries), lexical], 8, ["query_id"]))
 
 
 @register("context_budget", """WITH b AS (SELECT source, doc_id, '[' || source || ']' || chr(10) || text AS block FROM documents), u AS (SELECT *, sum(length(block)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used FROM b)

@@ -53,3 +53,9 @@ def test_briefs_hold_all_lines(spark, tmp_path):
             if items:
                 wanted.append((i, heading.lower(), len(items), hashlib.md5("|".join(items).encode()).hexdigest()))
     assert rows(quadrants_query(spark, str(tmp_path))) == sorted(wanted, key=repr)
+
+
+def test_federated_search_of_each_query(spark):
+    """A text that one query has seen is no copy for another one, and each query has its own best."""
+    hits = spark.createDataFrame([(1, 0, 1, "a", 0.5), (1, 1, 1, "a", 0.9), (1, 1, 2, "b", 0.8), (2, 1, 1, "a", 0.7), (2, 2, 1, "c", 0.6), (2, 2, 2, "d", 0.1)], "query_id int, collection_no int, hit_rank int, text string, score double")
+    assert rows(retrieval.federated([hits], 2, ["query_id"]).select("query_id", "text", "score")) == [(1, "a", 0.5), (1, "b", 0.8), (2, "a", 0.7), (2, "c", 0.6)]
