@@ -102,21 +102,38 @@ class PackedFile:
         return self.read(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+def encoded(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
+    """doc_id, part, row_no, width and the ids (with ``end_id``) of every text, where it is read."""
+
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, part, number = tokens.encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        width = width_for(max(encoder.vocabulary, end_id + 1))
+        for rows, text in slices(batches, limit=tokens.SLICE_BYTES):
+            offsets, ids = tokens.with_end(*encoder.encode(text), end_id)
+            n = len(text)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.full(n, part)), pa.array(np.arange(number, number + n)), pa.array(np.full(n, width, np.int32)), pa.array(np.full(n, ids.itemsize, np.int32)), tokens.binary_rows(offsets, ids)], names=["doc_id", "part", "row_no", "width", "bytes", "ids"])
+            number += n
+
+    chosen = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return materialize(chosen.mapInArrow(encode, "doc_id long, part long, row_no long, width int, bytes int, ids binary"), "token-ids")
+
+
 def token_files(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """Encode every text, append ``end_id``, and write files in ascending doc_id order; a row a file.
 
     Null texts count as empty (the end id alone); null ids come first; rows
-    with one id are ordered by text; an empty table gives no files.  Files are
-    numbered in order by (part, file_no).
+    with one id are ordered by a hash of their ids, so equal rows lie together
+    and a frequent id is still dealt over many tasks; an empty table gives no
+    files; columns other than doc_id and text are dropped.  Files are numbered
+    in order by (part, file_no).
     """
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = tokens.encoder(tokenizer_path), TaskContext.get().partitionId()
-        width = width_for(max(encoder.vocabulary, end_id + 1))
+        part = TaskContext.get().partitionId()
         keys: list = []
         parts: list[np.ndarray] = []
         lengths: list[int] = []
-        done, number, first = 0, 0, 0
+        done, number, first, width = 0, 0, 0, 0
 
         def file() -> pa.RecordBatch:
             nonlocal number, first, done
@@ -127,10 +144,9 @@ def token_files(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID)
             return row
 
         schema = pa.schema([("part", pa.int64()), ("file_no", pa.int64()), ("first_id", pa.int64()), ("n_documents", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
-        for rows, text in slices(batches, limit=tokens.SLICE_BYTES):
-            offsets, ids = encoder.encode(text)
-            for k, key in enumerate(rows.column(0).to_pylist()):
-                own = np.append(ids[offsets[k] : offsets[k + 1]], np.uint32(end_id))
+        for batch in batches:
+            for key, bits, size, data in zip(*(c.to_pylist() for c in batch.columns)):
+                own, width = np.frombuffer(data, f"<u{size}"), bits
                 keys.append(key), parts.append(own), lengths.append(len(own))
                 done += len(own)
                 if done >= FILE_IDS:
@@ -138,8 +154,10 @@ def token_files(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID)
         if keys:
             yield file()
 
-    ordered = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return materialize(ordered.mapInArrow(pack, FILES), "token-files")
+    ids = encoded(documents, tokenizer_path, end_id).withColumn("at", F.xxhash64("ids"))
+    keys = [F.col("doc_id").asc_nulls_first(), "at", "part", "row_no"]
+    ordered = ids.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return materialize(ordered.select("doc_id", "width", "bytes", "ids").mapInArrow(pack, FILES), "token-files")
 
 
 def read_documents(files: DataFrame) -> DataFrame:

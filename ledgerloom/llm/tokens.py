@@ -6,6 +6,9 @@ with word ends (white space is dropped).  For these a text is cut at gaps, each
 distinct piece is encoded once and kept, and a text's ids are gathered from its
 pieces.  Every other file, and every text in which such a cut could matter, is
 encoded whole.  The ids are those of ``Tokenizer.encode`` in all cases.
+
+Pieces stay in Arrow: only those that a worker has not kept reach the tokenizer,
+joined into a few long texts, and no Python object is made for a known piece.
 """
 
 from __future__ import annotations
@@ -22,13 +25,18 @@ from ledgerloom.llm.held import held
 from ledgerloom.llm.words import split
 
 #: Distinct pieces that a worker keeps; later ones are encoded anew in each slice.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 500_000
 #: Pieces that are encoded as one text.
-JOINED = 20_000
+JOINED = 4_000
 #: Text bytes that are encoded at once.
 SLICE_BYTES = 8 << 20
 #: A space after another white-space character: the cut before it is not safe.
 GAP_RUN = r"[\s\x0b\x1c-\x1f\x{85}\pZ] "
+#: A final comma or full stop after a Latin letter is a token of its own.
+TAIL = r"[A-Za-z\x{AA}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}][,.]$"
+#: Pieces that may be joined with others; those with marks, white space or control characters inside go alone.
+PLAIN = r"^ ?[!-~\p{L}\p{N}\p{P}\p{S}]+$"
+
 
 def encoder(path: str) -> "PieceEncoder":
     """The worker's encoder for ``path``, loaded once."""
@@ -51,6 +59,7 @@ class PieceEncoder:
     def __init__(self, path: str, kept: int = KEPT_PIECES) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind, self.most = _kind(path), kept
+        self.dtype = np.uint16 if self.vocabulary <= 1 << 16 else np.uint32
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = {"byte": "\n", "word": "\x01"}.get(self.kind, "")
         self.glue = {"byte": "\n", "word": " \x01 "}.get(self.kind, "")
@@ -58,8 +67,8 @@ class PieceEncoder:
         if len(found) != 1:
             self.kind = "whole"
         self.mark_id = found[0] if found else -1
-        self.slot: dict[str, int] = {}
-        self.starts, self.lens, self.pool = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.keys = pa.array([",", "."])  # the tails are always kept, first
+        self.ends, self.pool = self._one_by_one([",", "."])
 
     @property
     def vocabulary(self) -> int:
@@ -68,16 +77,19 @@ class PieceEncoder:
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _flat(self._plain(texts), self.dtype)
+
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Offsets (one more than texts) and the ids of all texts, uint32."""
+        """Offsets (one more than texts) and the ids of all texts, of ``dtype``."""
         n = len(text)
         if self.kind == "whole":
-            return _flat(self._plain(text.to_pylist()))
+            return self._one_by_one(text.to_pylist())
         odd = np.zeros(n, bool)
         for token in self.special:
-            odd |= pc.match_substring(text, token).to_numpy(zero_copy_only=False)
+            odd |= _mask(pc.match_substring(text, token))
         if self.kind == "byte":
-            odd |= pc.match_substring_regex(text, GAP_RUN).to_numpy(zero_copy_only=False)
+            odd |= _mask(pc.match_substring_regex(text, GAP_RUN))
         if not odd.any():
             return self._gathered(text)
         lists: list = [None] * n
@@ -87,98 +99,123 @@ class PieceEncoder:
             for k, i in enumerate(rest):
                 lists[i] = ids[offsets[k] : offsets[k + 1]]
         for i, found in zip(whole, self._plain([text[int(i)].as_py() for i in whole])):
-            lists[i] = found
-        return _flat(lists)
+            lists[i] = np.array(found, self.dtype)
+        return np.concatenate(([0], np.cumsum([len(x) for x in lists]))), np.concatenate(lists)
 
-    def _gathered(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _pieces(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Each text's place among the pieces, the pieces' codes, and the distinct pieces."""
         if self.kind == "word":
             offsets, flat = split(text)
-            codes, pieces = _coded(flat)
-        else:
-            lists = pc.split_pattern(text, " ")
-            offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.flatten()
-            codes, bare = _coded(flat)
-            first_codes, first = _coded(flat.take(pa.array(offsets[:-1])))
-            codes = codes.copy()
-            codes[offsets[:-1]] = first_codes + len(bare)  # a text's first piece has no space before it
-            pieces = [" " + p for p in bare] + first
-        starts, lens, kept = self._lookup(pieces)
-        sizes = lens[codes]
-        ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
-        at = np.repeat((starts[codes] - ends[:-1]).astype(np.int32), sizes)
-        at += np.arange(ends[-1], dtype=np.int32)
-        ids = self.pool[at]
-        self._shrink(kept)
-        return ends[offsets], ids
-
-    def _lookup(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
-        """Where the pieces' ids lie in the pool, and the pool's entries to keep."""
-        get = self.slot.get
-        slots = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+            return offsets, *_coded(flat)
+        lists = pc.split_pattern(text, " ")
+        offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.flatten()
+        codes, bare = _coded(flat)
+        first_codes, first = _coded(flat.take(pa.array(offsets[:-1])))
+        codes = codes.copy()
+        codes[offsets[:-1]] = first_codes + len(bare)  # a text's first piece has no space before it
+        return offsets, codes, pa.concat_arrays([pc.binary_join_element_wise(" ", bare, ""), first])
+
+    def _gathered(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        offsets, codes, pieces = self._pieces(text)
+        tailed = pc.match_substring_regex(pieces, TAIL)
+        tail = np.where(_mask(tailed), np.where(_mask(pc.ends_with(pieces, ",")), 0, 1), -1)[codes]
+        bases = pc.if_else(tailed, pc.utf8_slice_codeunits(pieces, 0, -1), pieces)
+        if self.kind == "word":
+            bases = pc.if_else(pc.string_is_ascii(bases), pc.ascii_lower(bases), bases)
+        key_codes, keys = _coded(bases)
+        slots, ends, pool = self._lookup(keys)
+        more = tail >= 0
+        before = np.concatenate(([0], np.cumsum(more)))  # tails before each piece
+        sequence = np.empty(len(codes) + before[-1], np.int32)
+        at = np.arange(len(codes)) + before[:-1]
+        sequence[at] = slots[key_codes[codes]]
+        sequence[at[more] + 1] = tail[more]
+        starts, sizes = ends[:-1][sequence], np.diff(ends)[sequence]
+        stops = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        place = np.repeat((starts - stops[:-1]).astype(np.int32), sizes)
+        place += np.arange(stops[-1], dtype=np.int32)
+        return stops[offsets + before[offsets]], pool[place]
+
+    def _lookup(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each key's slot, and ends and ids of all slots; new keys are kept while there is room."""
+        slots = pc.fill_null(pc.index_in(keys, value_set=self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int32)
         missing = np.flatnonzero(slots < 0)
         if not len(missing):
-            return self.starts[slots], self.lens[slots], len(self.starts)
-        wanted = [pieces[i] for i in missing]
-        lists = self._encoded(wanted)
-        had = len(self.starts)
-        lens = np.fromiter(map(len, lists), np.int32, len(lists))
-        self.starts = np.concatenate((self.starts, len(self.pool) + np.concatenate(([0], np.cumsum(lens)[:-1])).astype(np.int32)))
-        self.lens = np.concatenate((self.lens, lens))
-        self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(lists), np.uint32, int(lens.sum()))))
-        slots[missing] = np.arange(had, had + len(wanted))
-        room = max(0, min(len(wanted), self.most - len(self.slot)))
-        self.slot.update(zip(wanted[:room], range(had, had + room)))
-        return self.starts[slots], self.lens[slots], had + room
-
-    def _shrink(self, kept: int) -> None:
-        if kept < len(self.starts):
-            self.starts, self.lens = self.starts[:kept].copy(), self.lens[:kept].copy()
-            self.pool = self.pool[: int(self.starts[-1] + self.lens[-1]) if kept else 0].copy()
-
-    def _encoded(self, wanted: list[str]) -> list[list[int]]:
-        """Ids of each piece; a final comma or full stop after a Latin letter is a token of its own."""
-        tails = {c: self._plain([c])[0] for c in ",."}
-        bases = [w[:-1] if w[-1:] in tails and len(w) > 1 and w[-2].isalpha() and ord(w[-2]) < 0x250 else w for w in wanted]
-        keys = [b.lower() if self.kind == "word" and b.isascii() else b for b in bases]
-        todo = [k for k in dict.fromkeys(keys) if k not in self.slot]
-        done = dict(zip(todo, self._joined(todo)))
-        for k in dict.fromkeys(keys):
-            if k not in done:
-                s = self.slot[k]
-                done[k] = self.pool[self.starts[s] : self.starts[s] + self.lens[s]].tolist()
-        return [done[k] + tails[w[-1]] if b is not w and len(b) < len(w) else done[k] for w, b, k in zip(wanted, bases, keys)]
-
-    def _joined(self, pieces: list[str]) -> list[list[int]]:
-        """Encode pieces as one long text and cut it at the marks; pieces with white space inside go alone."""
-        alone = [i for i, p in enumerate(pieces) if not p.strip() or self.mark in p or len(p.split()) > 1 or not p[-1].isprintable()]
-        out: list = [None] * len(pieces)
-        for i, ids in zip(alone, self._plain([pieces[i] for i in alone])):
-            out[i] = ids
-        rest = [i for i in range(len(pieces)) if out[i] is None]
-        for k in range(0, len(rest), JOINED):
-            group = rest[k : k + JOINED]
-            ids = np.array(self._plain([self.glue.join(pieces[i] for i in group)])[0], np.uint32)
-            cuts = np.flatnonzero(ids == self.mark_id)
-            if len(cuts) != len(group) - 1:
-                for i, one in zip(group, self._plain([pieces[i] for i in group])):
-                    out[i] = one
-                continue
-            listed, begin = ids.tolist(), 0
-            for i, end in zip(group, [*cuts.tolist(), len(listed)]):
-                out[i] = listed[begin:end]
-                begin = end + 1
-        return out
-
-
-def _coded(flat: pa.Array) -> tuple[np.ndarray, list[str]]:
+            return slots, self.ends, self.pool
+        wanted, had = keys.take(pa.array(missing)), len(self.keys)
+        new_ends, ids = self._encoded(wanted)
+        ends, pool = np.concatenate((self.ends, self.ends[-1] + new_ends[1:])), np.concatenate((self.pool, ids))
+        slots[missing] = np.arange(had, had + len(missing), dtype=np.int32)
+        room = max(0, min(len(missing), self.most - had))
+        if room:
+            self.keys = pa.concat_arrays([self.keys, wanted[:room]])
+            self.ends = ends[: had + room + 1].copy()
+            self.pool = pool[: self.ends[-1]].copy()
+        return slots, ends, pool
+
+    def _encoded(self, wanted: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ends and ids of each piece; plain ones are encoded as long texts and cut at the marks."""
+        plain = _mask(pc.match_substring_regex(wanted, PLAIN))
+        sizes, parts = np.zeros(len(wanted), np.int64), []
+        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+        n = int(plain.sum())
+        joined = wanted.take(pa.array(order[:n]))
+        for k in range(0, n, JOINED):
+            group = joined[k : k + JOINED]
+            ends, ids = self._joined(group)
+            sizes[k : k + len(group)] = np.diff(ends)
+            parts.append(ids)
+        if n < len(wanted):
+            ends, ids = self._one_by_one(wanted.take(pa.array(order[n:])).to_pylist())
+            sizes[n:] = np.diff(ends)
+            parts.append(ids)
+        return _reordered(np.concatenate(([0], np.cumsum(sizes))), np.concatenate(parts), np.argsort(order))
+
+    def _joined(self, group: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(group)], pa.int32()), group), self.glue)[0].as_py()
+        ids = np.array(self._plain([text])[0], self.dtype)
+        cuts = np.flatnonzero(ids == self.mark_id)
+        if len(cuts) != len(group) - 1:
+            return self._one_by_one(group.to_pylist())
+        ends = np.concatenate(([0], cuts - np.arange(len(cuts)), [len(ids) - len(cuts)]))
+        return ends, np.delete(ids, cuts)
+
+
+def _mask(found: pa.Array) -> np.ndarray:
+    return found.to_numpy(zero_copy_only=False)
+
+
+def _coded(flat: pa.Array) -> tuple[np.ndarray, pa.Array]:
     coded = flat.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+
+
+def _reordered(ends: np.ndarray, ids: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.diff(ends)[order]
+    stops = np.concatenate(([0], np.cumsum(sizes)))
+    return stops, ids[np.repeat(ends[:-1][order] - stops[:-1], sizes) + np.arange(stops[-1])]
+
+
+def _flat(lists: list[list[int]], dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))))
+    return ends, np.fromiter(chain.from_iterable(lists), dtype, int(ends[-1]))
+
+
+def with_end(offsets: np.ndarray, ids: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and ids with ``end_id`` after each text."""
+    n = len(offsets) - 1
+    stops = offsets[1:] + np.arange(n)
+    out = np.empty(len(ids) + n, ids.dtype)
+    own = np.ones(len(out), bool)
+    own[stops] = False
+    out[own], out[stops] = ids, end_id
+    return offsets + np.arange(n + 1), out
 
 
-def _flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    parts = [np.asarray(x, np.uint32) for x in lists]
-    return np.concatenate(([0], np.cumsum(sizes))), np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+def binary_rows(offsets: np.ndarray, ids: np.ndarray) -> pa.Array:
+    """The little-endian bytes of ``ids`` from each offset to the next, as an Arrow binary array."""
+    ids = np.ascontiguousarray(ids, ids.dtype.newbyteorder("<"))
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
 
 
 def public_path(name: str) -> str:
