@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import os
 import random
 import re
@@ -112,34 +113,62 @@ def test_packing(spark, texts, documents):
     filled = pieces.groupby("sequence_id").length.sum()
     assert (filled.iloc[:-1] == 4096).all() and list(filled.index) == list(range(len(filled)))
     sources = {r.doc_id: r.source for r in documents.select("doc_id", "source").collect()}
-    pieces["source"] = pieces.doc_id.map(sources)
-    share = pieces.groupby("source").length.sum() / pieces.length.sum() * 4096
-    mixed = pieces.groupby(["sequence_id", "source"]).length.sum().unstack().fillna(0).iloc[:-1]
-    assert (mixed - share).abs().to_numpy().max() <= 2
-
-
-def test_closed_form_is_the_round_robin():
-    """Deficit round-robin, token by token of each window, gives the same counts a window, also once queues run dry."""
-    totals, weights = {"a": 700, "b": 150, "c": 90}, {"a": 0.2, "b": 0.5, "c": 0.3}
-    for w in (None, weights):
-        steps = packing.phases(totals, w)
-        got: dict = defaultdict(Counter)
-        cells = set()
-        for s, n in totals.items():
-            for at, length, window, offset in packing.place(0, n, steps[s], 64):
-                got[window][s] += length
-                mine = {(window, k) for k in range(offset, offset + length)}
-                assert not cells & mine
-                cells |= mine
-        assert len(cells) == 940 and all(sum(c.values()) == 64 for k, c in got.items() if k < 940 // 64)
-        if w:
-            assert abs(got[0]["b"] - 32) <= 1 and abs(got[0]["a"] - 12.8) <= 1
-        else:
-            owed = dict.fromkeys(totals, 0.0)
-            for k in range(940 // 64):
-                for s, n in totals.items():
-                    owed[s] += 64 * n / 940 - got[k][s]
-                    assert abs(owed[s]) <= 1 + 1e-9
+    check_turns(pieces, {i: (sources[i], len(x)) for i, x in ids.items()}, lambda totals: {s: n**packing.TEMPER for s, n in totals.items()}, packing.QUANTUM)
+
+
+def check_turns(pieces, documents: dict, weigh, quantum: int) -> None:
+    """The stream's units are those of a round-robin that always serves the queue whose credit came first."""
+    queues: dict = defaultdict(list)
+    for r in pieces[pieces.start == 0].sort_values(["row_part", "row_no"]).itertuples():
+        source, n = documents[r.doc_id]
+        queues[source] += [(r.doc_id, k, min(quantum, n - k)) for k in range(0, n, quantum)]
+    weights = weigh({s: sum(n for _, _, n in q) for s, q in queues.items()})
+    heap = [(0.0, s is not None, s) for s in queues]
+    heapq.heapify(heap)
+    given, at, wanted = Counter(), Counter(), []
+    while heap:
+        _, named, s = heapq.heappop(heap)
+        wanted.append(queues[s][at[s]])
+        given[s] += wanted[-1][2]
+        at[s] += 1
+        if at[s] < len(queues[s]):
+            heapq.heappush(heap, (given[s] / weights[s], named, s))
+    stream = pieces.sort_values(["sequence_id", "offset"])
+    units = stream.groupby(["row_part", "row_no"], sort=False).agg(doc_id=("doc_id", "first"), start=("start", "min"), length=("length", "sum"))
+    assert list(units.itertuples(index=False, name=None)) == wanted
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 0.2, "b": 0.5, None: 0.3}])
+def test_packing_by_weights(spark, weights):
+    """Targets other than the sources' own shares: queues run dry, a source without a weight comes last, ids repeat and are null."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None, "c"]), "word " * rng.randint(0, 90)) for i in range(300)]
+    path = tokens.public_path("word_bpe_49k.json")
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3, "doc_id"), path, 64, weights=weights, quantum=32).toPandas()
+    documents = {i: (s, t.count("word") + 1) for i, s, t in rows}
+    late = sum(n for s, n in documents.values() if s == "c") if weights else 0
+    if weights:
+        stream = pieces.sort_values(["sequence_id", "offset"])
+        last = stream.doc_id.map(lambda i: documents[i][0] == "c")
+        assert last.sum() and last.iloc[-last.sum() :].all() and stream[last].length.sum() == late
+        kept = pieces[~pieces.doc_id.map(lambda i: documents[i][0] == "c")]
+        check_turns(kept, {i: d for i, d in documents.items() if d[0] != "c"}, lambda totals: weights, 32)
+        first = stream[stream.sequence_id < 20].assign(source=lambda p: p.doc_id.map(lambda i: str(documents[i][0]))).groupby("source").length.sum()
+        assert abs(first["b"] / first.sum() - 0.5) < 0.05 and abs(first["a"] / first.sum() - 0.2) < 0.05
+    else:
+        check_turns(pieces, documents, lambda totals: totals, 32)
+    filled = pieces.groupby("sequence_id").length.sum()
+    assert (filled.iloc[:-1] == 64).all() and pieces.length.sum() == sum(n for _, n in documents.values())
+    assert pieces.sort_values("sequence_id").padded_length.iloc[-1] == packing.padded(int(filled.iloc[-1]), 64)
+    whole = {r.sequence_id: np.frombuffer(r.ids, "<u4") for r in packing.sequences(spark.createDataFrame(pieces.drop(columns="ids").assign(ids=[bytes(x) for x in pieces.ids]))).collect()}
+    assert all(len(whole[k]) == n for k, n in filled.items())
+
+
+def test_many_sources_pack(spark):
+    """A source a document: nothing about sources comes to the driver."""
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("host"), F.col("id")).alias("source"), F.lit("a b c").alias("text"))
+    pieces = packing.pack(rows, tokens.public_path("word_bpe_49k.json"), 64).collect()
+    assert sum(r.length for r in pieces) == 12_000 and {r.doc_id for r in pieces} == set(range(3000))
 
 
 def test_media_round_trip():
