@@ -4,6 +4,11 @@ A word known from training gives its log frequency in each language.  An unseen
 word backs off to its character n-grams, longest first, and the first length
 with a known n-gram decides.  Word scores are log posteriors, so no rare word
 outweighs a text; the label is the language with the greatest mean score.
+
+With add-half counts an item's log posterior is log(count + 1/2) less a term of
+the language and one of the item, so the model keeps an entry only where an
+item was counted in a language: its size follows the words and n-grams that it
+keeps, not their number times the languages'.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.held import held
-from ledgerloom.llm.words import small_batches, word_slices
+from ledgerloom.llm.words import word_slices
 from ledgerloom.storage import materialize
 
 UNDETERMINED = "und"
@@ -26,61 +31,126 @@ UNDETERMINED = "und"
 SAMPLE_DOCUMENTS = 4_000
 #: Words, and n-grams of each length, a language that the model keeps (the most frequent).
 KEPT_WORDS, KEPT_GRAMS = 30_000, 8_000
-#: Words of all languages together; with many languages each keeps fewer words and n-grams.
+#: Words of all languages together; with many languages each keeps fewer words and n-grams, one of each at least.
 ALL_WORDS = 1_000_000
 LONGEST_GRAM = 5
-#: Languages a model may have (the most frequent labels).
-MOST_LANGUAGES = 200
 #: Words of evidence at most; more text makes a score no surer.
 EVIDENCE = 30
-#: Words that a worker keeps with their scores, and scores of all of them (with many languages it keeps fewer words).
-CACHED_WORDS, CACHED_SCORES = 300_000, 2_000_000
+#: Words that a worker keeps with their scores, and entries of all of them.
+CACHED_WORDS, CACHED_ENTRIES = 200_000, 1_000_000
+#: Scores (documents times languages) that are summed at once.
+TABLE = 2_000_000
 EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»“”„’‘¿¡…–—"
 
 
+@dataclass
+class Items:
+    """Words, or n-grams of any length: where each one's entries lie, its kind (0: word, else the length) and its own term."""
+
+    index: dict[str, int]
+    ends: np.ndarray  # item i has entries ends[i] to ends[i + 1]
+    langs: np.ndarray
+    gains: np.ndarray  # log(count + 1/2) - log(1/2)
+    kinds: np.ndarray
+    own: np.ndarray  # log of the sum of (count + 1/2) / size over the languages
+
+    @staticmethod
+    def fit(found, languages: list[str], sizes: np.ndarray) -> "Items":
+        """From (item, lang, n, size) rows and each language's add-half total by size."""
+        found = found.sort_values(["item", "lang"], kind="stable")
+        names, first = np.unique(found["item"].to_numpy(object).astype(str), return_index=True) if len(found) else (np.zeros(0, str), np.zeros(0, np.int64))
+        at = {lang: j for j, lang in enumerate(languages)}
+        langs = found["lang"].map(at).to_numpy(np.int32)
+        n, kinds = found["n"].to_numpy(np.float64), found["size"].to_numpy(np.int64)[first].astype(np.int8)
+        ends = np.append(first, len(found)).astype(np.int64)
+        item = np.repeat(np.arange(len(names)), np.diff(ends))
+        own = np.log((0.5 / sizes).sum(axis=1)[kinds] + np.bincount(item, weights=n / sizes[kinds[item], langs], minlength=len(names)))
+        return Items({str(x): i for i, x in enumerate(names)}, ends, langs, np.log(2 * n + 1).astype(np.float32), kinds, own.astype(np.float32))
+
+
 @dataclass
 class LanguageModel:
     key: str
     languages: list[str]
-    words: dict[str, int]
-    grams: dict[str, int]
-    word_scores: np.ndarray  # log posterior by word and language
-    gram_scores: np.ndarray
+    words: Items
+    grams: Items
+    rest: np.ndarray  # log(1/2) less the log add-half total, by size and language
     cache: dict[str, int] = field(default_factory=dict)
-    cached: np.ndarray | None = None  # scores by the cache's places
-    filled: int = 0
+    store: "Scored | None" = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}, "cached": None, "filled": 0}
-
-    def keep(self, raw: str, row: np.ndarray | None) -> None:
-        """Remember a word's score while there is room; -1 stands for no letter."""
-        most = min(CACHED_WORDS, CACHED_SCORES // len(self.languages))
-        if len(self.cache) >= most:
-            return
-        if row is None:
-            self.cache[raw] = -1
-            return
-        if self.cached is None:
-            self.cached = np.empty((most, len(self.languages)), np.float32)
-        self.cached[self.filled] = row
-        self.cache[raw] = self.filled
-        self.filled += 1
-
-    def score(self, raw: str) -> np.ndarray | None:
-        """Log posterior of one word as written; None where it has no letter."""
+        return self.__dict__ | {"cache": {}, "store": None}
+
+    def score(self, raw: str) -> tuple[int, float, np.ndarray, np.ndarray] | None:
+        """(kind, own term, languages, gains) of one word as written; None where it has no letter.
+
+        Kind -1 is a word of which nothing is known: every language is as likely.
+        """
         if not any(map(str.isalpha, raw)):
             return None
         word = normal(raw)
-        at = self.words.get(word)
-        if at is not None:
-            return self.word_scores[at]
-        edged = f"^{word}$"
+        w = self.words
+        if (at := w.index.get(word)) is not None:
+            return 0, w.own[at], w.langs[w.ends[at] : w.ends[at + 1]], w.gains[w.ends[at] : w.ends[at + 1]]
+        edged, g = f"^{word}$", self.grams
         for n in range(LONGEST_GRAM, 0, -1):
-            found = [g for g in (self.grams.get(edged[i : i + n]) for i in range(len(edged) - n + 1)) if g is not None]
+            found = [i for i in (g.index.get(edged[i : i + n]) for i in range(len(edged) - n + 1)) if i is not None]
             if found:
-                return self.gram_scores[found].mean(axis=0)
-        return np.full(len(self.languages), -np.log(max(1, len(self.languages))), np.float32)
+                parts = [slice(g.ends[i], g.ends[i + 1]) for i in found]
+                return n, g.own[found].mean(), np.concatenate([g.langs[p] for p in parts]), np.concatenate([g.gains[p] for p in parts]) / len(found)
+        return -1, 0.0, NO_LANGS, NO_GAINS
+
+    def posterior(self, raw: str) -> np.ndarray | None:
+        """Log posterior of one word over all languages."""
+        found = self.score(raw)
+        if found is None:
+            return None
+        kind, own, langs, gains = found
+        return self.rest[kind] - own + np.bincount(langs, weights=gains, minlength=len(self.languages))
+
+    def look_up(self, words: list[str]) -> tuple["Scored", np.ndarray]:
+        """A store that holds the words' scores, and each one's place in it (-1: no letter)."""
+        if self.store is None:
+            self.store = Scored()
+        get = self.cache.get
+        places = np.fromiter((get(w, -2) for w in words), np.int64, len(words))
+        missing = np.flatnonzero(places == -2).tolist()
+        if not missing:
+            return self.store, places
+        found = [self.score(words[i]) for i in missing]
+        scored = [f for f in found if f is not None]
+        at = iter(range(len(self.store.kinds), len(self.store.kinds) + len(scored)))
+        places[missing] = [-1 if f is None else next(at) for f in found]
+        whole = self.store.extended(scored)
+        room = max(0, CACHED_WORDS - len(self.cache)) if len(whole.langs) <= CACHED_ENTRIES else 0
+        if room >= len(missing):
+            self.store = whole
+            self.cache.update(zip((words[i] for i in missing), places[missing].tolist()))
+        return whole, places
+
+
+NO_LANGS, NO_GAINS = np.zeros(0, np.int32), np.zeros(0, np.float32)
+
+
+@dataclass
+class Scored:
+    """Words' scores as flat arrays."""
+
+    kinds: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int8))
+    own: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    ends: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    langs: np.ndarray = field(default_factory=lambda: NO_LANGS)
+    gains: np.ndarray = field(default_factory=lambda: NO_GAINS)
+
+    def extended(self, more: list[tuple[int, float, np.ndarray, np.ndarray]]) -> "Scored":
+        sizes = np.fromiter((len(m[2]) for m in more), np.int64, len(more))
+        return Scored(
+            np.concatenate((self.kinds, np.fromiter((m[0] for m in more), np.int8, len(more)))),
+            np.concatenate((self.own, np.fromiter((m[1] for m in more), np.float32, len(more)))),
+            np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes))),
+            np.concatenate((self.langs, *(m[2] for m in more))),
+            np.concatenate((self.gains, *(m[3] for m in more))),
+        )
 
 
 def normal(raw: str) -> str:
@@ -107,48 +177,37 @@ def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _counted(langs.dictionary.to_pylist(), total)
 
 
-def _gram_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, item, count) of the n-grams of counted words."""
-    for batch in batches:
-        total: dict[tuple[str, str], int] = defaultdict(int)
-        for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
-            edged = f"^{word}$"
-            for size in range(1, LONGEST_GRAM + 1):
-                for i in range(len(edged) - size + 1):
-                    total[lang, edged[i : i + size]] += n
-        yield _counted(None, total)
+def _grams(words: DataFrame) -> DataFrame:
+    """(lang, item, n, size) of the n-grams of counted words."""
+    edged, length = F.concat(F.lit("^"), F.col("item"), F.lit("$")), F.length("item") + 2
+    cut = lambda size: F.when(length >= size, F.transform(F.sequence(F.lit(1), length - size + 1), lambda i: F.substring(edged, i, size))).otherwise(F.array().cast("array<string>"))
+    found = words.select("lang", "n", F.explode(F.flatten(F.array(*[cut(size) for size in range(1, LONGEST_GRAM + 1)]))).alias("item"))
+    return found.groupBy("lang", "item").agg(F.sum("n").alias("n")).withColumn("size", F.length("item"))
 
 
-def _counted(names: list[str] | None, total: dict) -> pa.RecordBatch:
+def _counted(names: list[str], total: dict[tuple[int, str], int]) -> pa.RecordBatch:
     keys = list(total)
-    langs = [k[0] if names is None else names[k[0]] for k in keys]
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(total.values()), pa.int64())], names=["lang", "item", "n"])
+    return pa.RecordBatch.from_arrays([pa.array([names[k[0]] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(total.values()), pa.int64())], names=["lang", "item", "n"])
 
 
 def train(labelled: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> LanguageModel:
-    """Fit on (doc_id, text, lang) rows with a non-null lang.
+    """Fit on (doc_id, text, lang) rows with a non-null lang; every label is a language.
 
     About ``sample_documents`` a language, drawn by hash, are counted in the
     tasks; the bounded tables of the most frequent words and n-grams come to
-    the driver.  No labelled row gives a model without languages.
+    the driver.  No labelled row gives a model without languages, and a label
+    without a word in its documents is none of the model's.
     """
     labelled = labelled.where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    known = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    rate = F.create_map(*[F.lit(x) for r in known for x in (r.lang, min(1.0, sample_documents / r.n))]) if known else F.create_map()
-    if not known:
-        return LanguageModel("empty", [], {}, {}, np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
+    labels = materialize(labelled.groupBy("lang").agg((sample_documents / F.count(F.lit(1))).alias("rate")), "language-labels")
     draw = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)
-    counted = small_batches(labelled).where(draw < rate[F.col("lang")]).select("text", "lang").mapInArrow(_word_counts, "lang string, item string, n long")
+    drawn = labelled.join(labels, "lang").where(draw < F.col("rate")).select("text", "lang")
+    counted = drawn.mapInArrow(_word_counts, "lang string, item string, n long")
     words = materialize(counted.groupBy("lang", "item").agg(F.sum("n").alias("n")), "language-words")
-    grams = words.mapInArrow(_gram_counts, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")).withColumn("size", F.length("item"))
-    languages = sorted(r.lang for r in known)
-    part = min(1.0, ALL_WORDS / (KEPT_WORDS * len(languages)))
-    found_words = _kept(words.withColumn("size", F.lit(0)), int(KEPT_WORDS * part))
-    found_grams = _kept(grams, int(KEPT_GRAMS * part))
-    word_index, word_scores = _posteriors(found_words, languages)
-    gram_index, gram_scores = _posteriors(found_grams, languages)
-    key = f"{len(word_index)}-{len(gram_index)}-{float(word_scores.sum())!r}"
-    return LanguageModel(key, languages, word_index, gram_index, word_scores, gram_scores)
+    part = min(1.0, ALL_WORDS / (KEPT_WORDS * max(1, labels.count())))
+    found_words = _kept(words.withColumn("size", F.lit(0)), max(1, int(KEPT_WORDS * part)))
+    found_grams = _kept(_grams(words), max(1, int(KEPT_GRAMS * part)))
+    return fitted(found_words, found_grams)
 
 
 def _kept(counts: DataFrame, most: int):
@@ -156,21 +215,19 @@ def _kept(counts: DataFrame, most: int):
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("lang", "item", "n", "size").toPandas()
 
 
-def _posteriors(found, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """Each item's log posterior over the languages (equal priors, add-half counts), by item length."""
-    items = {item: i for i, item in enumerate(sorted(set(found["item"])))}
-    at = {lang: j for j, lang in enumerate(languages)}
-    counts = np.zeros((len(items), len(languages)), np.float64)
-    counts[found["item"].map(items).to_numpy(np.int64), found["lang"].map(at).to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
-    sizes = np.zeros(len(items), np.int64)
-    sizes[found["item"].map(items).to_numpy(np.int64)] = found["size"].to_numpy(np.int64)
-    out = np.zeros_like(counts)
-    for size in np.unique(sizes):
-        rows = sizes == size
-        likelihood = np.log((counts[rows] + 0.5) / (counts[rows].sum(axis=0) + 0.5 * rows.sum()))
-        likelihood -= likelihood.max(axis=1, keepdims=True)
-        out[rows] = likelihood - np.log(np.exp(likelihood).sum(axis=1, keepdims=True))
-    return items, out.astype(np.float32)
+def fitted(words, grams) -> LanguageModel:
+    """The model of counted words (size 0) and n-grams, rows of (lang, item, n, size): equal priors, add-half counts by size."""
+    languages = sorted(set(words["lang"]))
+    sizes = np.ones((LONGEST_GRAM + 1, max(1, len(languages))))
+    for found in (words, grams):
+        for size in found["size"].unique():
+            part = found[found["size"] == size]
+            totals = part.groupby("lang")["n"].sum()
+            sizes[size] = [totals.get(lang, 0) + 0.5 * part["item"].nunique() for lang in languages]
+    rest = np.concatenate((np.log(0.5 / sizes), np.full((1, sizes.shape[1]), -np.log(max(1, len(languages))))))  # the last row is kind -1
+    found = Items.fit(words, languages, sizes), Items.fit(grams, languages, sizes)
+    key = f"{len(found[0].index)}-{len(found[1].index)}-{float(found[0].own.sum())!r}"
+    return LanguageModel(key, languages, *found, rest)
 
 
 def _kept_model(model: LanguageModel) -> LanguageModel:
@@ -194,32 +251,35 @@ def identify(documents: DataFrame, model: LanguageModel, added: tuple[str, str]
             lang, score = _labels(fitted, part)
             yield pa.RecordBatch.from_arrays([*part.rows.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*part.rows.schema.names, *added])
 
-    return small_batches(documents).select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(label, f"{schema}, `{added[0]}` string, `{added[1]}` double")
+    return documents.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(label, f"{schema}, `{added[0]}` string, `{added[1]}` double")
 
 
 def _labels(model: LanguageModel, part) -> tuple[list[str], np.ndarray]:
     n, width = part.rows.num_rows, len(model.languages)
     if not width:
         return [UNDETERMINED] * n, np.zeros(n)
-    table = np.zeros((len(part.words), width), np.float32)
-    words = part.words.to_pylist()
-    places = np.fromiter((model.cache.get(w, -2) for w in words), np.int64, len(words))
-    known = places >= 0
-    if known.any():
-        table[known] = model.cached[places[known]]
-    for i in np.flatnonzero(places == -2).tolist():
-        row = model.score(words[i])
-        model.keep(words[i], row)
-        if row is not None:
-            table[i], known[i] = row, True
-    documents = np.repeat(np.arange(n), part.counts)
-    lettered = np.bincount(documents, weights=known[part.codes], minlength=n)
-    total = np.stack([np.bincount(documents, weights=table[part.codes, j], minlength=n) for j in range(width)], axis=1)
-    mean = total / np.maximum(lettered, 1)[:, None] * np.minimum(lettered, EVIDENCE)[:, None]
-    best = mean.argmax(axis=1)
-    score = 1 / np.exp(mean - mean.max(axis=1, keepdims=True)).sum(axis=1)
-    score[lettered == 0] = 0
-    return [model.languages[b] if w else UNDETERMINED for b, w in zip(best.tolist(), lettered.tolist())], score
+    scored, places = model.look_up(part.words.to_pylist())
+    labels, scores = [], []
+    step = max(1, TABLE // width)
+    for a in range(0, n, step):
+        b = min(n, a + step)
+        own = places[part.codes[part.offsets[a] : part.offsets[b]]]
+        documents = np.repeat(np.arange(b - a), part.counts[a:b])[own >= 0]
+        own = own[own >= 0]
+        lettered = np.bincount(documents, minlength=b - a)
+        kinds = np.bincount(documents * len(model.rest) + scored.kinds[own] % len(model.rest), minlength=(b - a) * len(model.rest)).reshape(b - a, -1)
+        total = kinds @ model.rest - np.bincount(documents, weights=scored.own[own], minlength=b - a)[:, None]
+        sizes = np.diff(scored.ends)[own]
+        stops = np.cumsum(sizes)
+        entry = np.repeat(scored.ends[:-1][own] - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)
+        total += np.bincount(np.repeat(documents, sizes) * width + scored.langs[entry], weights=scored.gains[entry], minlength=(b - a) * width).reshape(b - a, width)
+        mean = total / np.maximum(lettered, 1)[:, None] * np.minimum(lettered, EVIDENCE)[:, None]
+        best = mean.argmax(axis=1)
+        score = 1 / np.exp(mean - mean.max(axis=1, keepdims=True)).sum(axis=1)
+        score[lettered == 0] = 0
+        labels += [model.languages[j] if w else UNDETERMINED for j, w in zip(best.tolist(), lettered.tolist())]
+        scores.append(score)
+    return labels, np.concatenate(scores) if scores else np.zeros(0)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,5 +289,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
-#: A learned model can't be expressed in SQL; tests/llm measures held-out accuracy.
+#: A learned model can't be expressed in SQL; tests/llm labels each text again word by word, and measures held-out accuracy.
 ORACLE = None
