@@ -7,7 +7,10 @@ n - ceil(t n) + l shingles; each document takes the l that makes the estimated
 postings and verifications cheapest, and a pair is verified once it shares the
 smaller of its two l.
 
-A shingle whose postings stay under ``COLD`` pairs its documents directly.
+A shingle whose postings stay under ``COLD`` pairs its documents directly.  A
+task that meets a shingle more often than that among the documents of one slice
+already knows it for a longer one: it sends a mark in place of the entries, so a
+shingle that a third of all documents share doesn't gather in one task.
 Longer postings come from large groups of near copies, where all pairs would be
 a square.  There each document is compared with a pivot, the most central
 document of the posting, and stands for its difference to it.  Documents within
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.words import GOLDEN, WordSlice, mix64, small_batches, word_slices
+from ledgerloom.llm.words import GOLDEN, WordSlice, mix64, word_slices
 from ledgerloom.storage import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -175,7 +178,11 @@ def _choose(frequency: np.ndarray, n: int, at: Threshold, noise: float) -> tuple
 
 
 def _prefixes(documents: DataFrame, sketch, k: int, at: Threshold, long_posting: int) -> DataFrame:
-    """Each document's prefix: ``tokens`` with short postings and ``long_tokens``, and ``info`` (size, centrality, l)."""
+    """Each document's prefix: ``tokens`` with short postings and ``long_tokens``, and ``info`` (size, centrality, l).
+
+    Shingles that are long in a slice are long tokens there; a row of nothing
+    but ``marks`` names them, for the entries of other slices.
+    """
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = sketch.value
@@ -193,16 +200,36 @@ def _prefixes(documents: DataFrame, sketch, k: int, at: Threshold, long_posting:
                 far = f[prefix] > long_posting
                 ids.append(doc_id), fps.append(_fingerprint(s)), info.append(len(s) << 20 | centre << 4 | l)
                 tokens.append(s[prefix[~far]]), long_tokens.append(s[prefix[far]])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.binary()), pa.array(info, pa.int64()), _lists(tokens), _lists(long_tokens)], names=["x", "fp", "info", "tokens", "long_tokens"])
+            marks = _hot(tokens)
+            if len(marks):
+                for i, own in enumerate(tokens):
+                    hot = np.isin(own, marks, assume_unique=True)
+                    tokens[i], long_tokens[i] = own[~hot], np.concatenate((long_tokens[i], own[hot]))
+                ids.append(None), fps.append(None), info.append(None), tokens.append(NONE), long_tokens.append(NONE)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.binary()), pa.array(info, pa.int64()), _lists(tokens), _lists(long_tokens), _lists([NONE] * (len(ids) - bool(len(marks))) + [marks] * bool(len(marks)))], names=["x", "fp", "info", "tokens", "long_tokens", "marks"])
+
+    return documents.select("doc_id", "text").mapInArrow(cut, "x long, fp binary, info long, tokens array<long>, long_tokens array<long>, marks array<long>")
+
 
-    return documents.select("doc_id", "text").mapInArrow(cut, "x long, fp binary, info long, tokens array<long>, long_tokens array<long>")
+NONE = np.zeros(0, np.uint64)
+
+
+def _hot(tokens: list[np.ndarray]) -> np.ndarray:
+    """Shingles of more than COLD of a slice's documents."""
+    if len(tokens) <= COLD:
+        return NONE
+    found, counts = np.unique(np.concatenate(tokens), return_counts=True)
+    return found[counts > COLD]
 
 
 MET = "token long, x long, y long, info long"
 
 
 def _postings(entries: DataFrame, at: Threshold) -> DataFrame:
-    """From (token, x, info): pairs of short postings (y, with l as info), and the entries of long ones (token)."""
+    """From (token, x, info): pairs of short postings (y, with l as info), and the entries of long ones (token).
+
+    An entry without x marks its token as long.
+    """
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -234,8 +261,9 @@ def _postings(entries: DataFrame, at: Threshold) -> DataFrame:
                     close()
                     token, hot = int(tokens[s]), False
                     held.clear()
-                own = list(zip(b.column(1).slice(s, e - s).to_pylist(), b.column(2).slice(s, e - s).to_pylist()))
-                if not hot and len(held) + len(own) > COLD:
+                entries = list(zip(b.column(1).slice(s, e - s).to_pylist(), b.column(2).slice(s, e - s).to_pylist()))
+                own = [e for e in entries if e[0] is not None]
+                if not hot and len(held) + len(own) > COLD or len(own) < len(entries):
                     hot, own = True, held + own
                 if hot:
                     rows.extend((token, x, None, info) for x, info in own)
@@ -449,16 +477,17 @@ def similar(documents: DataFrame, words: int = 4, num: int = 85, den: int = 100)
     a null component; an empty table gives an empty one.
     """
     at = Threshold(num, den)
-    documents = small_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = _scan(documents, words)
     rows = scanned.where("row is null").select("doc_id", "n", "fp")
     sketch = documents.sparkSession.sparkContext.broadcast(_sketch(scanned))
     long_posting = max(LONG, int(8 * sketch.value.mean()))
 
     classes = materialize(rows.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    prefixes = _prefixes(documents, sketch, words, at, long_posting).join(classes.select(F.col("fp").alias("_fp"), "rep"), (F.col("x") == F.col("rep")) & (F.col("fp") == F.col("_fp")))
-    prefixes = materialize(prefixes.select("x", "info", "tokens", "long_tokens"), "prefixes", "uncompressed")
-    met = materialize(_postings(prefixes.select(F.explode("tokens").alias("token"), "x", "info"), at), "postings")
+    prefixes = _prefixes(documents, sketch, words, at, long_posting).join(classes.select(F.col("fp").alias("_fp"), "rep"), (F.col("x") == F.col("rep")) & (F.col("fp") == F.col("_fp")), "left")
+    prefixes = materialize(prefixes.where("rep is not null or x is null").select("x", "info", "tokens", "long_tokens", "marks"), "prefixes", "uncompressed")
+    marks = prefixes.where("x is null").select(F.explode("marks").alias("token"), "x", "info").distinct()
+    met = materialize(_postings(prefixes.select(F.explode("tokens").alias("token"), "x", "info").union(marks), at), "postings")
 
     pairs = met.where("token is null").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min("info").alias("l")).where("shared >= l").select("a", "b")
     hot = met.where("token is not null").select("token", "x", "info").union(prefixes.where("size(long_tokens) > 0").select(F.explode("long_tokens"), "x", "info"))
