@@ -25,8 +25,8 @@ LEAST_GOOD = 0.5
 #: Bounds of the intra-class correlation, so of the prior's strength 1 / rho - 1.
 LEAST_RHO, MOST_RHO = 0.002, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Public suffixes of two labels; pass a longer list for a real crawl.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz", "co.za")
+# Labels that make a public suffix together with a country's two letters.
+SECOND_LABELS = ("ac", "co", "com", "edu", "gob", "gov", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
 #: Rules (host, path prefix, verdict) of the registered query.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
@@ -47,15 +47,25 @@ def path(url: Column) -> Column:
 
 
 def suffix(host: Column) -> Column:
-    """The last label, or the last two where they are a known public suffix."""
+    """The last label, or the last two where a country's second level is known to be public."""
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(two.rlike(rf"^(?:{'|'.join(SECOND_LABELS)})\.[a-z]{{2}}$"), two).otherwise(F.substring_index(host, ".", -1))
 
 
-def registered_domain(host: Column) -> Column:
-    """The suffix and the label before it; a host without one is its own domain."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+def placed(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """``hosts`` (host and more) with domain and suffix: the longest of ``suffixes`` (suffix), else by the rule.
+
+    A public list of suffixes, one a row without wildcards, goes in as it is.
+    A host's ends of up to six labels are looked up by an equi-join.
+    """
+    found = hosts.withColumn("suffix", suffix(F.col("host")))
+    if suffixes is not None:
+        labels = F.size(F.split("host", r"\."))
+        ends = hosts.select("host", F.explode(F.sequence(F.lit(1), F.least(labels, F.lit(6)))).alias("_n")).withColumn("_end", F.expr("substring_index(host, '.', -_n)"))
+        known = ends.join(suffixes.select(F.col("suffix").alias("_end")).distinct(), "_end").groupBy("host").agg(F.max_by("_end", "_n").alias("_known"))
+        found = found.join(known, "host", "left").withColumn("suffix", F.coalesce("_known", "suffix")).drop("_known")
+    more = F.size(F.split("suffix", r"\.")) + 1
+    return found.withColumn("_n", -more).withColumn("domain", F.expr("substring_index(host, '.', _n)")).drop("_n")
 
 
 def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -77,7 +87,7 @@ def _strength(groups: DataFrame) -> float:
     return 1 / min(max(rho, LEAST_RHO), MOST_RHO) - 1
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
+def reputation(pages: DataFrame, outcomes: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """host, n, k, alpha, beta for every host of ``pages`` (page_id, url).
 
     ``outcomes`` has page_id and good (boolean); pages without one, and nulls,
@@ -87,7 +97,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     marks = outcomes.where("page_id is not null and good is not null").groupBy("page_id").agg(F.min(F.col("good").cast("int")).alias("good"))
     marked = pages.select("page_id", host(F.col("url")).alias("host")).join(marks, "page_id", "left")
     by_host = marked.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).cast("long").alias("k"))
-    hosts = materialize(by_host.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("host"))), "url-hosts")
+    hosts = materialize(placed(by_host, suffixes), "url-hosts")
     by_domain = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     domains = materialize(by_domain, "url-domains")
     total = domains.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
@@ -97,8 +107,8 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     suffixes = materialize(_shrunk(suffixes, _strength(suffixes)).select("suffix", F.col("mean").alias("m")), "url-suffixes")
     below = materialize(domains.join(suffixes, "suffix"), "url-domains")
     below = materialize(_shrunk(below, _strength(below)).select("domain", F.col("mean").alias("m")), "url-domains")
-    placed = materialize(hosts.join(below, "domain"), "url-hosts")
-    shrunk = _shrunk(placed, _strength(placed))
+    under = materialize(hosts.join(below, "domain"), "url-hosts")
+    shrunk = _shrunk(under, _strength(under))
     return materialize(shrunk.select("host", "n", "k", "alpha", "beta"), "url-reputation")
 
 
@@ -113,9 +123,9 @@ def lower_bound(alpha: Column, beta: Column, z: float = Z) -> Column:
     return alpha / total - z * F.sqrt(alpha * beta / (total * total * (total + 1)))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, least_good: float = LEAST_GOOD) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, least_good: float = LEAST_GOOD, suffixes: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict for every page; a null or malformed url has an empty host, which is a host like others."""
-    known = reputation(pages, outcomes).select(F.col("host").alias("_host"), "alpha", "beta")
+    known = reputation(pages, outcomes, suffixes).select(F.col("host").alias("_host"), "alpha", "beta")
     parts = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     judged = parts.join(known, F.col("host") == F.col("_host"), "left")
     rule, says = rule_for(F.col("host"), F.col("path"), rules)
@@ -138,7 +148,7 @@ WITH u AS (SELECT page_id, CASE WHEN url IS NULL OR instr(url, '://') = 0 THEN '
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 o AS (SELECT doc_id AS page_id, min(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 h AS (SELECT host, count(good) AS n, coalesce(sum(good), 0) AS k,
-      CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.in', 'co.nz', 'co.za') THEN 1 ELSE 0 END AS two, string_split(host, '.') AS labels
+      CASE WHEN regexp_full_match(array_to_string(string_split(host, '.')[-2:], '.'), '(ac|co|com|edu|gob|gov|ltd|mil|ne|net|nom|or|org|plc|sch)\.[a-z][a-z]') THEN 1 ELSE 0 END AS two, string_split(host, '.') AS labels
       FROM p LEFT JOIN o USING (page_id) GROUP BY host),
 hd AS (SELECT host, n, k, array_to_string(labels[-(2 + two):], '.') AS domain, array_to_string(labels[-(1 + two):], '.') AS suffix FROM h),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hd GROUP BY domain, suffix),
