@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import tokens
-from ledgerloom.llm.words import slices, small_batches
+from ledgerloom.llm.words import slices
 from ledgerloom.storage import materialize
 
 MAGIC, HEAD = b"LLBP", struct.Struct("<4sB3xIQII")
@@ -114,7 +114,7 @@ def encoded(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID) ->
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.full(n, part)), pa.array(np.arange(number, number + n)), pa.array(np.full(n, width, np.int32)), pa.array(np.full(n, ids.itemsize, np.int32)), tokens.binary_rows(offsets, ids)], names=["doc_id", "part", "row_no", "width", "bytes", "ids"])
             number += n
 
-    chosen = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return materialize(chosen.mapInArrow(encode, "doc_id long, part long, row_no long, width int, bytes int, ids binary"), "token-ids")
 
 

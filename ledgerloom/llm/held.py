@@ -6,6 +6,8 @@ the model or tokenizer of an earlier stage goes when the next stage's comes.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Hashable
 from typing import TypeVar
 
@@ -20,6 +22,15 @@ def held(key: Hashable, make: Callable[[], T]) -> T:
     """The worker's object of this key, made on first use; it replaces that of any other key."""
     if key not in _held:
         _held.clear()
+        gc.collect()
         pa.default_memory_pool().release_unused()
+        _trim()
         _held[key] = make()
     return _held[key]
+
+
+def _trim() -> None:
+    """Give the C library's free memory back to the system, where it can do that."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

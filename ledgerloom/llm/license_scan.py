@@ -104,6 +104,7 @@ def scan(documents: DataFrame, licenses: Mapping[str, str] | None = None) -> Dat
     Null and empty texts have the digest of nothing and no licence.  The known
     digests are a few for each text of ``licenses`` (null: of all known ones)
     and are broadcast; names that share a digest give the first by name.
+    Other columns are dropped.
     """
     known = known_digests(documents.sparkSession, licenses)
     found = documents.select("doc_id", digest(F.col("text")).alias("license_digest"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import tokens
-from ledgerloom.llm.words import slices, small_batches
+from ledgerloom.llm.words import slices
 from ledgerloom.storage import materialize
 
 WINDOW = 4096
@@ -64,7 +64,7 @@ def token_units(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID,
             number += m
 
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-    return materialize(small_batches(chosen).mapInArrow(encode, UNITS), "packing-units")
+    return materialize(chosen.mapInArrow(encode, UNITS), "packing-units")
 
 
 def _before(sources: list[str | None], sizes: list[int], queues: dict[str | None, int]) -> np.ndarray:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.words import GOLDEN, WordSlice, mix64, small_batches, word_slices
+from ledgerloom.llm.words import GOLDEN, WordSlice, mix64, word_slices
 
 REPEAT_WINDOW = 5
 #: Labelled rows that rules are learned from at most, the first by a hash of the id.
@@ -127,7 +127,7 @@ def statistics(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.rows.column(0), *(pa.array(found[c].astype(np.int64)) for c in COUNTS)], names=["doc_id", *COUNTS])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return small_batches(documents).select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, {STATS}")
+    return documents.select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, {STATS}")
 
 
 def feature(name: str) -> Column:
@@ -208,14 +208,18 @@ def learn(features: dict[str, np.ndarray], bad: np.ndarray) -> list[Rule]:
 def learn_rules(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Learn from at most ``sample_rows`` labelled documents (quality 0 is bad), the first by a hash of the id.
 
-    Rows without a label are left out; an id labelled twice counts by its lower label.
+    Rows without a label are left out; an id labelled twice counts by its lower
+    label, and of rows with one id the first by their statistics is learned
+    from.  No labels, or labels of one kind, give no rules.
     """
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64(F.lit("rules"), F.col("doc_id")), "doc_id").limit(sample_rows)
     rows = chosen.toPandas()
     if rows.empty:
         return []
     picked = documents.sparkSession.createDataFrame(rows)  # sample_rows rows at most
-    counts = statistics(documents.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")).toPandas().merge(rows, on="doc_id").sort_values("doc_id")
+    found = statistics(documents.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi"))
+    once = found.groupBy("doc_id").agg(F.min(F.struct(*COUNTS)).alias("s")).select("doc_id", "s.*")
+    counts = once.toPandas().merge(rows, on="doc_id").sort_values("doc_id")
     return learn(shares_of({c: counts[c].to_numpy() for c in COUNTS}), counts["quality"].to_numpy() == 0)
 
 

@@ -1,8 +1,9 @@
 """Words of Arrow text columns as integer codes, without a Python object per word.
 
 A word is a run of characters other than space and U+0009 to U+000D.  Each
-record batch is cut into slices of bounded text bytes; Arrow splits a slice and
-dictionary-encodes its words, so Python sees each distinct word once a slice.
+record batch (Spark bounds its rows and its bytes) is cut into slices of bounded
+text bytes; Arrow splits a slice and dictionary-encodes its words, so Python
+sees each distinct word once a slice.
 """
 
 from __future__ import annotations
@@ -13,12 +14,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
 
 #: Text bytes of a slice; a longer document is a slice of its own.
 SLICE_BYTES = 4 << 20
-#: Rows of an Arrow batch between Spark and Python; its buffers on both sides grow with them.
-BATCH_ROWS = 1_000
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -36,14 +34,6 @@ class WordSlice:
         return np.diff(self.offsets)
 
 
-def small_batches(documents: DataFrame) -> DataFrame:
-    """``documents``, with Arrow batches of BATCH_ROWS rows unless the session has set a number of its own."""
-    conf = documents.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return documents
-
-
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Rows of about ``limit`` text bytes, or one longer row, with the text column (nulls as '')."""
     held: list[pa.RecordBatch] = []

@@ -262,16 +262,170 @@ def test_language_accuracy(spark, documents):
     assert sum(r.lang_pred == r.lang for r in found) > 0.97 * len(found) and all(0 <= r.score <= 1 for r in found)
 
 
+def plain_label(model: language_id.LanguageModel, text: str | None) -> tuple[str, float]:
+    """A text's label and score, word by word."""
+    found = [p for p in map(model.posterior, WORD.findall(text or "")) if p is not None]
+    if not found:
+        return "und", 0.0
+    total = np.mean(found, axis=0) * min(len(found), language_id.EVIDENCE)
+    return model.languages[int(total.argmax())], float(1 / np.exp(total - total.max()).sum())
+
+
+def test_language_of_each_text(spark, documents, texts):
+    """The query against a count of all words and n-grams in Python, and a sum of log posteriors by word."""
+    import zlib
+
+    import pandas as pd
+
+    counts: dict = defaultdict(Counter)
+    for r in documents.collect():
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            for raw in WORD.findall(r.text or ""):
+                if any(map(str.isalpha, raw)) and (word := language_id.normal(raw)):
+                    counts[0, r.lang][word] += 1
+                    for size in range(1, 6):
+                        counts[size, r.lang].update(f"^{word}$"[i : i + size] for i in range(len(word) + 3 - size))
+    rows = []
+    for (size, lang), items in counts.items():
+        best = sorted(items.items(), key=lambda x: (-x[1], x[0].encode()))[: language_id.KEPT_GRAMS if size else language_id.KEPT_WORDS]
+        rows += [(lang, item, n, size) for item, n in best]
+    frame = pd.DataFrame(rows, columns=["lang", "item", "n", "size"])
+    model = language_id.fitted(frame[frame["size"] == 0], frame[frame["size"] > 0])
+    for r in queries.QUERIES["op8_language_id"](spark, DATA).collect():
+        label, score = plain_label(model, texts[r.doc_id])
+        assert r.lang_pred == label and abs(r.score - score) < 1e-3 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
 def test_backoff():
-    model = language_id.LanguageModel("t", ["a", "b"], {"hund": 0}, {"und": 0, "at$": 1}, np.log(np.array([[0.9, 0.1]], np.float32)), np.log(np.array([[0.8, 0.2], [0.1, 0.9]], np.float32)))
-    assert model.score("Hund,").argmax() == 0 and model.score("cat").argmax() == 1 and model.score("123") is None and np.allclose(np.exp(model.score("zz")), 0.5)
+    import pandas as pd
+
+    columns = ["lang", "item", "n", "size"]
+    words = pd.DataFrame([("a", "hund", 9, 0), ("b", "maus", 4, 0)], columns=columns)
+    grams = pd.DataFrame([("a", "und", 4, 3), ("b", "und", 1, 3), ("a", "at$", 1, 3), ("b", "at$", 9, 3)], columns=columns)
+    model = language_id.fitted(words, grams)
+    assert model.posterior("Hund,").argmax() == 0 and model.posterior("cat").argmax() == 1 and model.posterior("123") is None and np.allclose(np.exp(model.posterior("zz")), 0.5)
+    like = np.array([(9 + 0.5) / (9 + 1), 0.5 / (4 + 1)])
+    assert np.allclose(np.exp(model.posterior("hund")), like / like.sum(), atol=1e-6)
+    like = np.array([(1 + 0.5) / (5 + 1), (9 + 0.5) / (10 + 1)])
+    assert np.allclose(np.exp(model.posterior("kat")), like / like.sum(), atol=1e-6)
+
+
+def test_co_training_on_held_out_labels(spark):
+    """On labels that it has not seen the classifier catches bad documents and leaves good ones, beyond what keeping all would score."""
+    path = "/root/testdata/sf0.01"
+    documents, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    kept, held = labels.where("doc_id % 3 <> 0"), labels.where("doc_id % 3 = 0")
+    found = co_training.score(documents, co_training.train(documents, kept)).join(held, "doc_id").collect()
+    bad, good = [r for r in found if r.quality == 0], [r for r in found if r.quality == 1]
+    assert len(bad) > 10 and sum(not r.quality_kept for r in bad) >= 0.7 * len(bad) and sum(r.quality_kept for r in good) >= 0.98 * len(good)
+    assert sum(r.quality_kept == bool(r.quality) for r in found) > len(good) + 0.5 * len(bad)
 
 
-def test_co_training_accuracy(spark, documents):
+def test_sure_rows_are_of_all_documents(spark, documents):
+    """A round takes the first sure rows by key of the whole unlabelled table, as scored here one by one."""
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
-    kept, held = labels.where("doc_id % 5 <> 0"), labels.where("doc_id % 5 = 0")
-    found = co_training.score(documents, co_training.train(documents, kept)).join(held, "doc_id").collect()
-    assert sum(r.quality_kept == bool(r.quality) for r in found) > 0.85 * len(found)
+    model = co_training.train(documents, labels, rounds=0)
+    found = co_training.views(documents)
+    rows = found.collect()
+    odds = co_training._odds(model, *([r[c] for r in rows] for c in ("columns", "counts")), np.array([r.n_words for r in rows]), *([r[c] for r in rows] for c in ("statistics", "page")))
+    scores, labelled = model.scores(*odds), {r.doc_id for r in labels.where("quality is not null").collect()}
+    wanted = {(0, 1): 7, (0, 0): 5, (1, 1): 3}
+    given = co_training.sure_rows(found, model, labels.where("quality is not null"), wanted, {0: {rows[0].key}, 1: set()})
+    for (view, label), most in wanted.items():
+        sure = sorted(r.key for r, p in zip(rows, scores[view]) if (p if label else 1 - p) >= co_training.SURE and r.n_words and r.doc_id not in labelled and (view or r.key != rows[0].key))
+        assert set(given[(given["view"] == view) & (given["y"] == label)]["key"]) <= set(sure) and len(given[(given["view"] == view) & (given["y"] == label)]) == min(most, len(sure))
+
+
+def test_quality_scores_of_each_text(spark, documents):
+    """The query against every document scored by itself from its own words."""
+    from ledgerloom.llm.quality_rules import FEATURES
+
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    model = co_training.train(documents, labels)
+    w, b = model.text
+    found = {r.doc_id: r for r in queries.QUERIES["op9_co_training"](spark, DATA).collect()}
+    stats = {r.doc_id: r for r in quality_rules.statistics(documents).collect()}
+    for r in documents.collect():
+        words, s = WORD.findall(r.text or ""), stats[r.doc_id]
+        row = [np.log1p(s.n_words), np.log1p(s.n_lines), s.n_words / max(1, s.n_lines), *(s[top] / s[bottom] if s[bottom] else 0.0 for top, bottom in FEATURES.values())]
+        text = b + 10 * w[co_training._buckets(words)].sum() / max(1, len(words)) + (np.array(row, np.float32) - model.scale[0]) / model.scale[1] @ w[1 << co_training.TEXT_BITS :]
+        page = model.page_odds(co_training._page({"lang": [r.lang], "source": [r.source], "n_chars": [r.n_chars]}))[0]
+        wanted = model.scores(np.array([text]), np.array([page]))[2][0] if words else 0.0
+        assert abs(found[r.doc_id].score - wanted) < 1e-3 and (abs(wanted - co_training.LEAST_SCORE) < 1e-3 or found[r.doc_id].kept == (wanted >= co_training.LEAST_SCORE))
+
+
+def test_rules_on_held_out_labels(spark):
+    path = "/root/testdata/sf0.1"
+    documents, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    rules = quality_rules.learn_rules(documents, labels.where("doc_id % 3 <> 0"))
+    held = labels.where("doc_id % 3 = 0 and quality is not null")
+    found = quality_rules.statistics(documents.join(F.broadcast(held.select("doc_id")), "doc_id", "left_semi")).withColumn("kept", quality_rules.verdict(rules)).join(held, "doc_id").collect()
+    bad, good = [r for r in found if r.quality == 0], [r for r in found if r.quality == 1]
+    assert rules and sum(not r.kept for r in bad) >= 0.9 * len(bad) and sum(r.kept for r in good) >= 0.99 * len(good)
+
+
+def test_media_of_each_text(spark, texts):
+    """The query's payloads and files, byte for byte."""
+    import hashlib
+
+    for r in queries.QUERIES["op4_motion_jpeg"](spark, DATA).collect():
+        data = (texts[r.doc_id] or "").encode()
+        payload = data + b" " * (-len(data) % 192 or (0 if data else 192))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        media = motion_jpeg.write_avi(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        units = np.frombuffer(payload, np.uint8).reshape(-1, 192)
+        short = -len(units) % min(len(units), motion_jpeg.FRAME_UNITS)
+        luma = np.concatenate((units[:, 0], np.full(short, 32, np.uint8))).astype(int)
+        luma = np.where(luma >= 128, luma, luma - 255) // 8 + 128
+        assert r.feature.startswith(f"frames={-(-len(units) // motion_jpeg.FRAME_UNITS) if len(units) > motion_jpeg.FRAME_UNITS else 1};") and r.feature.endswith(f"luma={int(luma.sum()) // len(luma)}")
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage's rows from its own input, recomputed independently of the stage."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        rows = docs.collect()
+        stage(spark, docs, DATA).write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        found = out.collect()
+        if name == "language":
+            model = language_id.train(docs.where(language_id.in_training(F.col("doc_id"))))
+            labels = {r.doc_id: plain_label(model, r.text) for r in rows}
+            wanted = [i for i, (label, score) in labels.items() if label != "und" and score > corpus_pipeline.LEAST_LANGUAGE_SCORE]
+            assert {r.doc_id for r in found} ^ set(wanted) <= {i for i, (_, score) in labels.items() if abs(score - corpus_pipeline.LEAST_LANGUAGE_SCORE) < 1e-3}
+        elif name == "quality":
+            model = co_training.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+            scores = {r.doc_id: r.quality_score for r in co_training.score(docs, model).collect()}
+            assert {r.doc_id for r in found} == {i for i, s in scores.items() if s >= co_training.LEAST_SCORE}
+        elif name == "near_copies":
+            groups = brute({r.doc_id: r.text for r in rows}, 5, 80, 100)
+            assert sorted(r.doc_id for r in found) == sorted({component for _, component in groups.values()})
+        elif name == "mixing":
+            plan = Counter(r.doc_id for r in found)
+            sizes = {r.doc_id: (len(WORD.findall(r.text or "")), r.source) for r in rows}
+            totals, order = Counter(), sorted({r.source for r in rows})
+            for n, s in sizes.values():
+                totals[s] += n
+            weight, left, target = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}, sum(totals.values()), {}
+            while any(s not in target and weight[s] * left / sum(weight[x] for x in order if x not in target) > 3 * totals[s] for s in order):
+                share = left / sum(weight[x] for x in order if x not in target)
+                for s in [s for s in order if s not in target and weight[s] * share > 3 * totals[s]]:
+                    target[s] = 3 * totals[s]
+                left = sum(totals.values()) - sum(target.values())
+            share = left / max(1, sum(weight[x] for x in order if x not in target))
+            for i, (_, s) in sizes.items():
+                rate = target.get(s, weight[s] * share) / totals[s]
+                assert int(rate + 1e-9) <= plan[i] <= int(rate) + 1
+        else:
+            ids = sum(len(tokens.encoder(tokens.public_path("word_bpe_49k.json")).tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in rows)
+            filled = out.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+            assert sum(r.n for r in filled) == ids and sum(r.n != 4096 for r in filled) <= 1
+        if name != "packing":
+            assert out.columns == docs.columns
+            docs = out
 
 
 def test_mix_comes_near_its_targets(spark):

@@ -106,19 +106,65 @@ def test_a_worker_holds_one_object():
 
 def test_kept_words_score_as_new_ones(monkeypatch):
     import numpy as np
+    import pandas as pd
     import pyarrow as pa
 
     from ledgerloom.llm.words import word_slices
 
     batch = pa.RecordBatch.from_pydict({"text": ["hund cat 12 hund", "zz 12", None, "cat cat"]})
+    counted = pd.DataFrame([("a", "hund", 9, 0), ("b", "maus", 1, 0)], columns=["lang", "item", "n", "size"]), pd.DataFrame([("a", "at$", 1, 3), ("a", "und", 9, 3), ("b", "at$", 8, 3)], columns=["lang", "item", "n", "size"])
     scores = []
     for most in (0, 2, 100):
         monkeypatch.setattr(language_id, "CACHED_WORDS", most)
         monkeypatch.setattr(co_training, "CACHED_WORDS", most)
-        model = language_id.LanguageModel("t", ["a", "b"], {"hund": 0}, {"at$": 0}, np.log(np.array([[0.9, 0.1]], np.float32)), np.log(np.array([[0.2, 0.8]], np.float32)))
-        co = co_training.CoModel((np.random.default_rng(0).random(1 << co_training.TEXT_BITS), 0.0), (np.zeros(1), 0.0), None, None, None)
+        model = language_id.fitted(*counted)
+        co = co_training.CoModel((np.random.default_rng(0).random((1 << co_training.TEXT_BITS) + len(co_training.STATISTICS)), 0.0), (np.zeros(1), 0.0), None)
         for _ in range(3):
             labels, score = language_id._labels(model, next(word_slices([batch])))
             scores.append((labels, score.tolist(), co.word_weights(["x", "Yy", "z"]).tolist()))
         assert len(model.cache) <= most and len(co.cache) <= most
     assert all(s == scores[0] for s in scores) and scores[0][0][0] == "a" and scores[0][0][2:] == ["und", "b"]
+
+
+def test_more_languages_than_a_table_holds(spark, monkeypatch):
+    """Every label can be predicted, also where scores are summed in several parts."""
+    monkeypatch.setattr(language_id, "ALL_WORDS", 400)
+    rows = [(i * 250 + j, f"word{j}a {j}x thing{j} same", f"l{j:03d}") for i in range(2) for j in range(250)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(documents)
+    assert len(model.languages) == 250 and len(model.words.index) <= 400
+    monkeypatch.setattr(language_id, "TABLE", 500)
+    found = language_id.identify(documents, model).collect()
+    assert sum(r.lang_pred == r.lang for r in found) > 0.95 * len(found)
+
+
+def test_session_settings_stay(spark, odd, labels):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    quality_rules.learn_rules(odd, labels), jaccard_join.similar(odd).count()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_damaged_media_reads_back(spark):
+    good = motion_jpeg.write_avi(bytes(192))
+    media = spark.createDataFrame([(1, 5, None), (2, 5, b"RIFF"), (3, 5, good), (4, 5, good[: len(good) // 3])], "doc_id long, n_bytes long, media binary")
+    found = {r.doc_id: r for r in motion_jpeg.read_back(media).collect()}
+    assert found[3].payload_bytes == 192 and found[1].payload_bytes is None and found[2].feature.startswith("error=") and found[4].payload_sha256 is None
+
+
+def test_suffixes(spark):
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("x.gov.uk",), ("shop.com.mx",), ("www.example.com",), ("com",), ("",), ("a.b.pages.dev",), ("h.tokyo.jp",)], "host string")
+    rule = {r.host: (r.domain, r.suffix) for r in url_reputation.placed(hosts).collect()}
+    assert rule["a.b.co.uk"] == ("b.co.uk", "co.uk") and rule["x.gov.uk"] == ("x.gov.uk", "gov.uk") and rule["shop.com.mx"] == ("shop.com.mx", "com.mx") and rule["www.example.com"] == ("example.com", "com") and rule["com"] == ("com", "com") and rule[""] == ("", "")
+    known = spark.createDataFrame([("pages.dev",), ("tokyo.jp",), ("uk",), ("b.co.uk",)], "suffix string")
+    listed = {r.host: (r.domain, r.suffix) for r in url_reputation.placed(hosts, known).collect()}
+    assert listed["a.b.pages.dev"] == ("b.pages.dev", "pages.dev") and listed["h.tokyo.jp"] == ("h.tokyo.jp", "tokyo.jp") and listed["a.b.co.uk"] == ("a.b.co.uk", "b.co.uk") and listed["www.example.com"] == ("example.com", "com")
+
+
+def test_ties_in_rules_and_classifiers(spark):
+    """Equal values and equal scores: the same model and the same rows at every run."""
+    rows = [(i, "good words in a line of text here now" if i % 2 else "### ### ###", "en", "s") for i in range(80)]
+    documents = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert quality_rules.learn_rules(documents, labels) == quality_rules.learn_rules(documents.repartition(7), labels)
+    kept = [{(r.doc_id, r.quality_kept) for r in co_training.score(documents, co_training.train(d, labels)).collect()} for d in (documents, documents.repartition(5))]
+    assert kept[0] == kept[1] == {(i, bool(i % 2)) for i in range(80)}
