@@ -106,4 +106,36 @@ def in_month(date: Column, month: str) -> Column:
 
 
 def lifecycle(month: Column, growth: Column, legacy_before: str, peak: str) -> Column:
-    return F.when(month < legacy_before, "Legacy Phase").when(month == peak, "Peak Origination").when(growth > 0, "Expansion").otherwise("Stabilization")
+    return F.when(month < legacy_before, "Legacy Book Run-off").when(month == peak, "Peak Origination").when(growth > 0, "Expansion Phase").otherwise("Stabilization")
+
+
+def counted(n: Column) -> Column:
+    """1,234"""
+    return F.format_number(n, 0)
+
+
+def money(amount: Column) -> Column:
+    """A rupee amount without its fraction, grouped by thousands."""
+    return F.concat(F.lit("₹"), F.format_number(amount.cast("decimal(24,2)"), 0))
+
+
+def shown_percent(value: Column) -> Column:
+    return F.concat(F.format_number(value.cast("decimal(18,4)"), 1), F.lit("%"))
+
+
+def signed_percent(value: Column) -> Column:
+    """A change in percent with its sign."""
+    return F.concat(F.when(value >= 0, "+").otherwise(""), F.round(value.cast("decimal(18,4)"), 1).cast("decimal(18,1)").cast("string"), F.lit("%"))
+
+
+#: Kinds of graph node and how their ids begin.
+ID_PREFIXES = {"product": "ZONE-PROD", "branch": "BRN", "scheme": "SCHM", "customer": "CUST", "account": "ACNT", "disbursement": "DISB", "repayment": "REPAY"}
+
+
+def id_parts(node_id: Column) -> Column:
+    """(kind, code, second) of a graph id; a scheme's second part is its code, a payment's its number."""
+    kind = F.lit(None).cast("string")
+    for name, prefix in ID_PREFIXES.items():
+        kind = F.when(node_id.startswith(f"{prefix}-"), name).otherwise(kind)
+    rest = F.split(F.regexp_replace(node_id, "^(ZONE-PROD|[A-Z]+)-", ""), "-")
+    return F.struct(kind.alias("kind"), F.get(rest, F.lit(0)).alias("code"), F.get(rest, F.lit(1)).alias("second"))

@@ -12,17 +12,28 @@ from pyspark.sql import functions as F
 FREQUENCIES = ("monthly", "quarterly", "yearly")
 
 
-def period_range(frequency: str, period: str, start: dt.date | None = None, end: dt.date | None = None) -> tuple[dt.date, dt.date]:
-    """First and last day; given dates take the period's place.  Raises ValueError on what it can't read."""
+#: What an unknown frequency, ``custom`` for one, stands for where a date is not given.
+DEFAULT_PERIOD = ("monthly", "2026-05")
+
+
+def period_range(frequency: str, period: str, start: dt.date | None = None, end: dt.date | None = None, default: tuple[str, str] | None = DEFAULT_PERIOD) -> tuple[dt.date, dt.date]:
+    """First and last day; given dates take the period's place.
+
+    An unknown frequency is the ``default`` period, and an unknown quarter is
+    January to March of its own year.  ValueError on a period that can't be
+    read, and on an unknown frequency where ``default`` is None.
+    """
     if start and end:
         return start, end
+    if frequency not in FREQUENCIES and default is not None:
+        frequency, period = default
     if frequency == "monthly" and (m := re.fullmatch(r"(\d{4})-(\d{2})", period)):
         year, month = int(m[1]), int(m[2])
         found = dt.date(year, month, 1), dt.date(year, month, calendar.monthrange(year, month)[1])
-    elif frequency == "quarterly" and (m := re.fullmatch(r"(?:FY)?(\d{4})-Q([1-4])", period)):
-        year, first = int(m[1]) + (m[2] == "4"), {"1": 4, "2": 7, "3": 10, "4": 1}[m[2]]
+    elif frequency == "quarterly" and (m := re.fullmatch(r"(?:FY)?(\d{4})-(\w+)", period)):
+        year, first = int(m[1]) + (m[2].upper() == "Q4"), {"Q1": 4, "Q2": 7, "Q3": 10}.get(m[2].upper(), 1)
         found = dt.date(year, first, 1), dt.date(year, first + 2, calendar.monthrange(year, first + 2)[1])
-    elif frequency == "yearly" and (m := re.fullmatch(r"(\d{4})(?:-(\d{4}))?", period)):
+    elif frequency == "yearly" and (m := re.fullmatch(r"(?:FY)?(\d{4})(?:-(\d{4}))?", period)):
         found = dt.date(int(m[1]), 4, 1), dt.date(int(m[2] or int(m[1]) + 1), 3, 31)
     else:
         raise ValueError(f"no {frequency} period: {period}")
@@ -45,6 +56,16 @@ def period_end(frequency: Column, period: Column) -> Column:
     return F.when(frequency == "yearly", year_end).otherwise(F.date_sub(F.add_months(start, months), 1))
 
 
+def shown_date(date: Column) -> Column:
+    """30/06/2000."""
+    return F.date_format(date, "dd/MM/yyyy")
+
+
+def upper_date(date: Column) -> Column:
+    """30-JUN-2000."""
+    return F.upper(F.date_format(date, "dd-MMM-yyyy"))
+
+
 def duration_days(start: Column, end: Column) -> Column:
     """Days inclusive, at least 1; 31 where a date is missing."""
     return F.coalesce(F.greatest(F.datediff(end, start) + 1, F.lit(1)), F.lit(31))
@@ -56,6 +77,13 @@ def scale_factors(start: dt.date, end: dt.date) -> tuple[float, float, float]:
     return factor, min(max(factor, 0.8), 4.5), min(max(1 + (factor - 1) * 0.15, 1.0), 2.5)
 
 
+def scaled(start: Column, end: Column) -> tuple[Column, Column, Column]:
+    """scale_factors of date columns, as decimals."""
+    factor = F.round(duration_days(start, end).cast("decimal(12,4)") / 31, 2).cast("decimal(12,2)")
+    limited = lambda x, low, high: F.least(F.greatest(x, F.lit(low).cast("decimal(12,4)")), F.lit(high).cast("decimal(12,4)"))
+    return factor, limited(factor.cast("decimal(12,4)"), "0.8", "4.5"), limited((1 + (factor - 1) * F.lit("0.15").cast("decimal(3,2)")).cast("decimal(12,4)"), "1.0", "2.5")
+
+
 def age_label(then: Column, now: Column) -> Column:
     """How long ago, from timestamps: Just now, minutes, hours or days."""
     seconds = F.unix_timestamp(now) - F.unix_timestamp(then)

@@ -23,6 +23,9 @@ COMPANY_SUFFIXES = (
     "finance", "financial", "capital", "services", "service", "limited", "ltd", "private", "pvt", "company", "co", "corporation", "india", "holdings",
     "investment", "investments", "fin", "leasing", "credit",
 )
+# The characters of Windows-1252 at bytes 0x80 to 0x9F, and those bytes as Latin-1.
+CP1252 = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+CP1252_BYTES = "".join(chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
 #: The name space of URL-based ids (RFC 4122).
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
@@ -58,16 +61,45 @@ def file_part(path: Column) -> Column:
     return F.substring_index(F.replace(path, F.lit("\\"), F.lit("/")), "/", -1)
 
 
+def source_name(*keys: Column) -> Column:
+    """The file name of the first of several source keys that isn't blank."""
+    return file_part(F.coalesce(*[F.nullif(k, F.lit("")) for k in keys]))
+
+
+def repaired(line: Column) -> Column:
+    """UTF-8 that was read as Windows-1252, read again; a line for which that fails stays."""
+    encodable = rf"^[\x00-\x7F\x{{A0}}-\x{{FF}}{CP1252}]*$"
+    text = F.encode(F.translate(line, CP1252, CP1252_BYTES), "ISO-8859-1").cast("string")
+    return F.when(line.rlike(rf"[\x{{C2}}-\x{{F4}}][\x{{A0}}-\x{{BF}}{CP1252}]") & line.rlike(encodable), F.coalesce(F.try_validate_utf8(text), line)).otherwise(line)
+
+
+# What clean_line removes or rewrites, in this order, before bold marks and white space.
+LINE_REWRITES = ((r"!\[[^\]]*\]\([^)]+\)", ""), (r"\[\]\([^)]+\)", ""), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"<[^>]+>", ""), (r"^[#*\-\d.\s|]+", ""))
+
+
 def clean_line(line: Column) -> Column:
-    """Markdown images, links, tags and leading marks removed, white space collapsed."""
-    t = F.regexp_replace(line, r"!\[[^\]]*\]\([^)]+\)", "")
-    t = F.regexp_replace(t, r"\[\]\([^)]+\)", "")
-    t = F.regexp_replace(t, r"\[([^\]]+)\]\([^)]+\)", "$1")
-    t = F.regexp_replace(t, r"<[^>]+>", "")
-    t = F.regexp_replace(t, r"^[#*\-\d.\s|]+", "")
+    """Repaired; Markdown images, links, tags and leading marks removed, white space collapsed."""
+    t = repaired(line)
+    for pattern, meant in LINE_REWRITES:
+        t = F.regexp_replace(t, pattern, meant)
     return collapse(F.replace(t, F.lit("**"), F.lit("")))
 
 
+def title_case(text: Column) -> Column:
+    """Each run of letters with a capital first, the rest lower."""
+    runs = F.regexp_extract_all(text, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.lower(F.substring(r, 2, 1 << 30)))), "")
+
+
+def stem_label(file_name: Column) -> Column:
+    """A label from a file's stem: underscores and hyphens as spaces, in title case."""
+    return title_case(F.translate(F.regexp_replace(file_name, r"\.[^.]*$", ""), "_-", "  "))
+
+
+def strip_marks(text: Column, marks: str = " :.-") -> Column:
+    return F.btrim(text, F.lit(marks))
+
+
 def is_noise(line: Column, noise: Sequence[str] = NOISE) -> Column:
     """URL lines, lines under four characters, and those with a noise pattern."""
     low = F.lower(line)
@@ -196,6 +228,8 @@ def excerpt(text: Column, at: Column, before: int = 120, length: int = 480) -> C
 
 def safe_file_name(path: Column) -> Column:
     """A Markdown file name for a page's path; ``index`` where nothing is left."""
-    t = F.regexp_replace(F.replace(F.regexp_replace(path, "^/+|/+$", ""), F.lit("/"), F.lit("_")), r"\.(html|aspx)$", "")
-    t = F.regexp_replace(F.substring(F.regexp_replace(t, r"[^A-Za-z0-9._-]+", "_"), 1, 150), r"^[._]+|[._]+$", "")
-    return F.concat(F.when(t == "", "index").otherwise(t), F.lit(".md"))
+    t = F.replace(F.btrim(path, F.lit("/")), F.lit("/"), F.lit("_"))
+    for extension in (".html", ".aspx"):
+        t = F.replace(t, F.lit(extension), F.lit(""))
+    t = F.btrim(F.substring(F.regexp_replace(t, r'[\\/*?:"<>|]', "_"), 1, 150), F.lit("._"))
+    return F.concat(F.coalesce(F.nullif(t, F.lit("")), F.lit("index")), F.lit(".md"))

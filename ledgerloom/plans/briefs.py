@@ -39,22 +39,34 @@ def embed(chunks: DataFrame, embedder: Embedder, column: str = "text") -> DataFr
     return chunks.withColumn("embedding", model(F.col(column)))
 
 
-def ask(hits: DataFrame, question: str, generator: Generator | None = None, least: float = 0.4, budget: int = 9000, extra: Sequence[str] = ()) -> dict[str, str]:
-    """An answer from the hits (source, text, score) over the threshold; without a generator, their first sentences.
+def ask(hits: DataFrame, question: str, generator: Generator | None = None, least: float = 0.4, budget: int = 9000, extra: DataFrame | Sequence[str] = (), degraded: str | None = None, nothing: str | None = None) -> dict[str, str]:
+    """An answer from the hits (source, text, score, maybe page) over the threshold; without a generator, their first sentences.
 
-    Raises LookupError where no hit is good enough.
+    ``extra`` comes before the hits: texts, or the rows (row_no, text, source)
+    of registry_context.  Where the generator fails, ``degraded`` is the answer;
+    without it the error is raised.  Where no hit is good enough and there is
+    nothing extra, ``nothing`` is the answer; without it LookupError is raised.
     """
     from ledgerloom.plans.retrieval import context
 
+    if isinstance(extra, DataFrame):  # two rows
+        extra = [f"[{r.source}]\n{r.text}" for r in extra.orderBy("row_no").collect()]
     good = hits.where(F.col("score") >= least).withColumn("_g", F.lit(1))
     row = context(good, ["_g"], budget, F.desc("score"), F.asc("source")).first()
-    if row is None:
-        raise LookupError("nothing found")
-    packed = "\n\n".join([*extra, row.context])
+    if row is None and not extra:
+        if nothing is None:
+            raise LookupError("nothing found")
+        return {"answer": nothing, "context": ""}
+    packed = "\n\n".join([*extra, *([row.context] if row else [])])
     if generator:
-        return {"answer": generator(question, packed), "context": packed}
+        try:
+            return {"answer": generator(question, packed), "context": packed}
+        except Exception:
+            if degraded is None:
+                raise
+            return {"answer": degraded, "context": packed}
     first = good.orderBy(F.desc("score"), "source").limit(1).select(F.array_join(T.sentences(F.col("text"), 60, 4), " ").alias("s")).first()
-    return {"answer": first.s, "context": packed}
+    return {"answer": first.s if first else "", "context": packed}
 
 
 def summary(text: Column, most: int = 4) -> Column:
@@ -89,8 +101,10 @@ def labelled(line: Column) -> Column:
 
 
 def initials(name: Column, most: int = 2) -> Column:
+    """The first letters of all words in upper case, cut to ``most`` characters; U where there is none."""
     words = F.filter(F.split(name, r"\s+"), lambda w: w != "")
-    return F.upper(F.array_join(F.slice(F.transform(words, lambda w: F.left(w, F.lit(1))), 1, most), ""))
+    letters = F.left(F.upper(F.array_join(F.transform(words, lambda w: F.left(w, F.lit(1))), "")), F.lit(most))
+    return F.coalesce(F.nullif(letters, F.lit("")), F.lit("U"))
 
 
 def ask_key(question: Column) -> Column:
@@ -107,7 +121,7 @@ def amount(text: Column) -> Column:
 
 
 @register("card_texts", r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\([^()]*p\.\s*\d+\)', '', 'g'), '\[(FACT|AI INTERPRETATION)\]', '', 'g'), '[#*_`>|]', '', 'g'), '\s+', ' ', 'g')) AS preview,
-'ask:' || lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS ask_key, upper(array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:2], lambda w: left(w, 1)), '')) AS initials FROM conversations""")
+'ask:' || lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS ask_key, coalesce(nullif(left(upper(replace(array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), lambda w: left(w, 1)), ''), 'ß', 'SS')), 2), ''), 'U') AS initials FROM conversations""")
 def cards_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", preview(text).alias("preview"), ask_key(text).alias("ask_key"), initials(text).alias("initials"))

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import briefs, details, documents, portfolio, retrieval, returns, state  # noqa: F401
+from ledgerloom.plans import briefs, details, documents, graph, portfolio, retrieval, returns, state, workbook  # noqa: F401
 from ledgerloom.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import lending as L
-from ledgerloom.operators.relational import first_seen, growth, percent, round_robin, top_k, union_all
+from ledgerloom.operators.relational import first_seen, growth, percent, round_robin, top_k, top_k_per_group, union_all
 from ledgerloom.plans.domain import table, view
 from ledgerloom.plans.registry import register, sql_percent
 
@@ -118,38 +118,39 @@ def monthly_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cohorts(loans: DataFrame, legacy_before: str, peak: str) -> DataFrame:
-    """Months of origination with month-over-month growth and a life-cycle label (a row a month, so one small window)."""
+    """Months of origination with month-over-month growth of the sanctioned volume and a life-cycle label (a row a month, so one small window)."""
     rows = measured(loans.where(F.col("sanc_date").isNotNull())).groupBy(L.month_key(F.col("sanc_date")).alias("start_month"))
     found = rows.agg(
-        F.count(F.lit(1)).alias("loans_started"), F.count_distinct("cust_id").alias("borrowers_onboarded"), F.sum("sanc_amt").cast("double").alias("volume_sanctioned"), F.sum("_disb").alias("_disb"),
-        F.sum("_rep").cast("double").alias("volume_repaid"), F.coalesce(F.round(F.avg(F.col("int_rate").cast("decimal(10,2)")), 2).cast("double"), F.lit(17.7)).alias("avg_interest_rate"), percent(F.sum("_rep"), F.sum("_disb")).alias("repayment_rate"),
+        F.count(F.lit(1)).alias("loans_started"), F.count_distinct("cust_id").alias("borrowers_onboarded"), F.coalesce(F.sum("sanc_amt"), F.lit(0)).alias("_sanc"), F.coalesce(F.sum("_disb"), F.lit(0)).cast("double").alias("volume_disbursed"),
+        F.sum("_rep").cast("double").alias("volume_repaid"), F.coalesce(F.round(F.avg(F.col("int_rate").cast("decimal(10,2)")), 2).cast("double"), F.lit(17.7)).alias("avg_interest_rate"),
+        F.coalesce(F.round(F.avg("sanc_amt"), 2).cast("double"), F.lit(0.0)).alias("avg_ticket_size"), percent(F.sum("_rep"), F.sum("_disb")).alias("repayment_rate"),
     )
-    grown = growth(found, "_disb", "start_month", "mom_growth_pct").withColumn("volume_disbursed", F.col("_disb").cast("double")).drop("_disb")
+    grown = growth(found, "_sanc", "start_month", "mom_growth_pct").withColumn("volume_sanctioned", F.col("_sanc").cast("double")).drop("_sanc")
     return grown.withColumn("institution_status", L.lifecycle(F.col("start_month"), F.col("mom_growth_pct"), legacy_before, peak))
 
 
-SQL_COHORTS = f"""c AS (SELECT strftime(sanc_date, '%Y-%m') AS start_month, count(*) AS loans_started, count(DISTINCT cust_id) AS borrowers_onboarded, CAST(sum(sanc_amt) AS DOUBLE) AS volume_sanctioned, sum({DISB}) AS d,
-CAST(sum(coalesce(pri_repay_amt, 0)) AS DOUBLE) AS volume_repaid, coalesce(CAST(round(CAST(avg(CAST(int_rate AS DECIMAL(10,2))) AS DECIMAL(14,6)), 2) AS DOUBLE), 17.7) AS avg_interest_rate, {sql_percent('sum(coalesce(pri_repay_amt, 0))', f'sum({DISB})')} AS repayment_rate FROM v_loans WHERE sanc_date IS NOT NULL GROUP BY 1),
-g AS (SELECT *, lag(d) OVER (ORDER BY start_month) AS p FROM c),
-k AS (SELECT * EXCLUDE (d, p), CAST(d AS DOUBLE) AS volume_disbursed, CASE WHEN p > 0 THEN CAST(round(CAST((d - p)::DOUBLE * 100 / p::DOUBLE AS DECIMAL(28,9)), 1) AS DOUBLE) ELSE 0.0 END AS mom_growth_pct FROM g)"""
+SQL_COHORTS = f"""c AS (SELECT strftime(sanc_date, '%Y-%m') AS start_month, count(*) AS loans_started, count(DISTINCT cust_id) AS borrowers_onboarded, coalesce(sum(sanc_amt), 0) AS s, CAST(coalesce(sum({DISB}), 0) AS DOUBLE) AS volume_disbursed,
+CAST(sum(coalesce(pri_repay_amt, 0)) AS DOUBLE) AS volume_repaid, coalesce(CAST(round(CAST(avg(CAST(int_rate AS DECIMAL(10,2))) AS DECIMAL(14,6)), 2) AS DOUBLE), 17.7) AS avg_interest_rate, coalesce(CAST((2 * CAST(sum(sanc_amt) * 100 AS HUGEINT) + count(sanc_amt)) // (2 * count(sanc_amt)) AS DOUBLE) / 100, 0) AS avg_ticket_size, {sql_percent('sum(coalesce(pri_repay_amt, 0))', f'sum({DISB})')} AS repayment_rate FROM v_loans WHERE sanc_date IS NOT NULL GROUP BY 1),
+g AS (SELECT *, lag(s) OVER (ORDER BY start_month) AS p FROM c),
+k AS (SELECT * EXCLUDE (s, p), CAST(s AS DOUBLE) AS volume_sanctioned, CASE WHEN p > 0 THEN CAST(round(CAST((s - p)::DOUBLE * 100 / p::DOUBLE AS DECIMAL(28,9)), 1) AS DOUBLE) ELSE 0.0 END AS mom_growth_pct FROM g)"""
 
 
-@register("cohort_growth", f"WITH {SQL_COHORTS} SELECT *, CASE WHEN start_month < '1996-01' THEN 'Legacy Phase' WHEN start_month = '2000-05' THEN 'Peak Origination' WHEN mom_growth_pct > 0 THEN 'Expansion' ELSE 'Stabilization' END AS institution_status FROM k", ("v_loans",))
+@register("cohort_growth", f"WITH {SQL_COHORTS} SELECT *, CASE WHEN start_month < '1996-01' THEN 'Legacy Book Run-off' WHEN start_month = '2000-05' THEN 'Peak Origination' WHEN mom_growth_pct > 0 THEN 'Expansion Phase' ELSE 'Stabilization' END AS institution_status FROM k", ("v_loans",))
 def cohorts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohorts(view(spark, sf_dir, "v_loans"), "1996-01", "2000-05")
 
 
 def cohort_summary(found: DataFrame) -> DataFrame:
-    """First and last month, their ratio, mean growth and total volume over the cohorts."""
-    one, decimal = F.col("volume_disbursed"), "decimal(24,2)"
+    """First and last month, the ratio of their volumes, mean growth (0 for no month) and total volume over the cohorts."""
+    one, decimal = F.col("volume_sanctioned"), "decimal(24,2)"
     return found.agg(
         F.min("start_month").alias("start_period"), F.max("start_month").alias("latest_period"),
-        F.round(F.max_by(one.cast(decimal), "start_month") / F.min_by(one.cast(decimal), "start_month"), 2).cast("double").alias("origination_growth_multiplier"),
-        F.round(F.avg(F.col("mom_growth_pct").cast("decimal(18,1)")), 1).cast("double").alias("average_mom_growth_pct"), F.sum(one.cast(decimal)).cast("double").alias("total_new_volume_started"),
+        F.round(F.max_by(one.cast(decimal), "start_month") / F.coalesce(F.nullif(F.min_by(one.cast(decimal), "start_month"), F.lit(0)), F.lit(1)), 1).cast("double").alias("origination_growth_multiplier"),
+        F.coalesce(F.round(F.avg(F.col("mom_growth_pct").cast("decimal(18,1)")), 1).cast("double"), F.lit(0.0)).alias("average_mom_growth_pct"), F.coalesce(F.sum(one.cast(decimal)), F.lit(0)).cast("double").alias("total_new_volume_started"),
     )
 
 
-@register("cohort_summary", f"WITH {SQL_COHORTS} SELECT min(start_month) AS start_period, max(start_month) AS latest_period, CAST(round(CAST(arg_max(volume_disbursed, start_month) / arg_min(volume_disbursed, start_month) AS DECIMAL(28,9)), 2) AS DOUBLE) AS origination_growth_multiplier, CAST(round(CAST(avg(CAST(mom_growth_pct AS DECIMAL(18,1))) AS DECIMAL(28,9)), 1) AS DOUBLE) AS average_mom_growth_pct, CAST(sum(CAST(volume_disbursed AS DECIMAL(24,2))) AS DOUBLE) AS total_new_volume_started FROM k", ("v_loans",))
+@register("cohort_summary", f"WITH {SQL_COHORTS} SELECT min(start_month) AS start_period, max(start_month) AS latest_period, CAST(round(CAST(arg_max(volume_sanctioned, start_month) / coalesce(nullif(arg_min(volume_sanctioned, start_month), 0), 1) AS DECIMAL(28,9)), 1) AS DOUBLE) AS origination_growth_multiplier, coalesce(CAST(round(CAST(avg(CAST(mom_growth_pct AS DECIMAL(18,1))) AS DECIMAL(28,9)), 1) AS DOUBLE), 0) AS average_mom_growth_pct, coalesce(CAST(sum(CAST(volume_sanctioned AS DECIMAL(24,2))) AS DOUBLE), 0) AS total_new_volume_started FROM k", ("v_loans",))
 def cohort_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort_summary(cohorts_query(spark, sf_dir))
 
@@ -161,22 +162,29 @@ def vintages(loans: DataFrame, months: int = 12) -> DataFrame:
     pct = F.least(F.lit("98.5").cast("decimal(4,1)"), F.lit("94.0").cast("decimal(4,1)") + (F.col("total_loans") % 5).cast("decimal(4,0)") * F.lit("0.8").cast("decimal(4,1)"))
     found = first.withColumn("_pct", pct.cast("decimal(6,1)"))
     before = F.coalesce(F.lag("_pct").over(Window.orderBy("vintage_month")), F.lit("94.0").cast("decimal(6,1)"))
-    return found.select("vintage_month", "total_loans", F.col("_sanc").cast("double").alias("disbursed_amt"), F.col("_pct").cast("double").alias("synthetic_efficiency_pct"), (F.col("_pct") - before).cast("double").alias("improvement_delta"))
+    repaid = F.round(F.col("_sanc") * F.col("_pct") / 100, 2).cast("double")
+    return found.select("vintage_month", "total_loans", F.col("_sanc").cast("double").alias("disbursed_amt"), repaid.alias("synthetic_repaid_amt"), F.col("_pct").cast("double").alias("synthetic_efficiency_pct"), (F.col("_pct") - before).cast("double").alias("improvement_delta"), L.signed_percent(F.col("_pct") - before).alias("shown_delta"))
 
 
-@register("vintage", "WITH v AS (SELECT strftime(sanc_date, '%Y-%m') AS vintage_month, count(*) AS total_loans, sum(sanc_amt) AS s FROM v_loans WHERE sanc_date IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 12), e AS (SELECT *, CAST(least(98.5, 94.0 + (total_loans % 5) * 0.8) AS DECIMAL(6,1)) AS p FROM v) SELECT vintage_month, total_loans, CAST(s AS DOUBLE) AS disbursed_amt, CAST(p AS DOUBLE) AS synthetic_efficiency_pct, CAST(p - coalesce(lag(p) OVER (ORDER BY vintage_month), 94.0) AS DOUBLE) AS improvement_delta FROM e", ("v_loans",))
+@register("vintage", "WITH v AS (SELECT strftime(sanc_date, '%Y-%m') AS vintage_month, count(*) AS total_loans, sum(sanc_amt) AS s FROM v_loans WHERE sanc_date IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 12), e AS (SELECT *, CAST(least(98.5, 94.0 + (total_loans % 5) * 0.8) AS DECIMAL(6,1)) AS p FROM v) SELECT vintage_month, total_loans, CAST(s AS DOUBLE) AS disbursed_amt, CAST(round(CAST(s AS DECIMAL(24,4)) * p / 100, 2) AS DOUBLE) AS synthetic_repaid_amt, CAST(p AS DOUBLE) AS synthetic_efficiency_pct, CAST(p - coalesce(lag(p) OVER (ORDER BY vintage_month), 94.0) AS DOUBLE) AS improvement_delta, CASE WHEN p - coalesce(lag(p) OVER (ORDER BY vintage_month), 94.0) >= 0 THEN '+' ELSE '' END || CAST(CAST(p - coalesce(lag(p) OVER (ORDER BY vintage_month), 94.0) AS DECIMAL(18,1)) AS VARCHAR) || '%' AS shown_delta FROM e", ("v_loans",))
 def vintages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vintages(view(spark, sf_dir, "v_loans"))
 
 
-def search(loans: DataFrame, customers: DataFrame, term: str, kinds: tuple[str, ...] = ("product", "branch", "customer"), most: int = 15, customers_most: int = 12) -> DataFrame:
-    """Products, branches and customers whose code or name contains ``term``; a blank term finds nothing."""
+def search(loans: DataFrame, customers: DataFrame, term: str, kinds: tuple[str, ...] = ("product", "branch", "customer"), most: int = 15, customers_most: int = 12, least: int = 1) -> DataFrame:
+    """Products, branches and customers whose code or name contains ``term``; a term under ``least`` characters (2 while typing) finds nothing.
+
+    Names are looked up in the loans and in the customers apart, and only the
+    ids that hit are joined with the loans.
+    """
     term = term.strip().lower()
+    term = term if len(term) >= least else ""
     code = lambda c: F.col(c).cast("string").contains(term)
     product = loans.where(code("prod_code")).groupBy(F.concat(F.lit("ZONE-PROD-"), F.col("prod_code").cast("string")).alias("id")).agg(F.count(F.lit(1)).alias("accounts")).withColumn("type", F.lit("product")).withColumn("_o", F.lit(1))
     branch = loans.where(code("brn_code")).groupBy(F.concat(F.lit("BRN-"), F.col("brn_code").cast("string")).alias("id")).agg(F.count(F.lit(1)).alias("accounts")).withColumn("type", F.lit("branch")).withColumn("_o", F.lit(2))
-    hit = code("cust_id") | F.lower("cust_name").contains(term) | F.lower("first_name").contains(term) | F.lower("last_name").contains(term)
-    people = loans.join(customers, "cust_id", "left").where(hit).groupBy(F.concat(F.lit("CUST-"), F.col("cust_id").cast("string")).alias("id")).agg(F.count(F.lit(1)).alias("accounts"))
+    named = customers.where(F.lower("first_name").contains(term) | F.lower("last_name").contains(term)).select("cust_id").distinct().withColumn("_named", F.lit(True))
+    hit = code("cust_id") | F.lower("cust_name").contains(term) | F.col("_named")
+    people = loans.select("cust_id", "cust_name").join(named, "cust_id", "left").where(hit).groupBy(F.concat(F.lit("CUST-"), F.col("cust_id").cast("string")).alias("id")).agg(F.count(F.lit(1)).alias("accounts"))
     people = top_k(people, customers_most, F.desc("accounts"), F.asc("id")).withColumn("type", F.lit("customer")).withColumn("_o", F.lit(3))
     parts = [p for kind, p in (("product", product), ("branch", branch), ("customer", people)) if kind in kinds]
     found = union_all(*parts) if term else union_all(*parts).limit(0)
@@ -256,10 +264,21 @@ def connected_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends, "id", "left_semi")
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """Each node's neighbours either way, and its degree."""
-    both = edges.select(F.col("source").alias("id"), F.col("target").alias("other")).union(edges.select("target", "source"))
-    return both.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("other")), ",").alias("neighbours"), F.count_distinct("other").alias("degree"))
+def adjacency(edges: DataFrame, most: int = 10_000) -> DataFrame:
+    """Each node's neighbours either way (the first ``most`` by id, in one row), and its whole degree.
+
+    A hub's neighbours are deduplicated and cut before they are gathered; all
+    of them are the rows of ``neighbour_pairs``.
+    """
+    both = neighbour_pairs(edges)
+    degree = both.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    first = top_k_per_group(both, ["id"], most, F.asc("other"))
+    return first.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("other")), ",").alias("neighbours")).join(degree, "id")
+
+
+def neighbour_pairs(edges: DataFrame) -> DataFrame:
+    """(id, other) of every edge either way, each once."""
+    return edges.select(F.col("source").alias("id"), F.col("target").alias("other")).union(edges.select("target", "source")).distinct()
 
 
 @register("graph_connected_nodes", """WITH a AS (SELECT *, coalesce(pri_repay_amt, 0) AS rep, coalesce(CAST(brn_code AS VARCHAR), '0') AS b, coalesce(schm_code, '0') AS s FROM v_loans)

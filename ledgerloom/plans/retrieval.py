@@ -148,13 +148,79 @@ def federated(parts: list[DataFrame], most: int, by: Sequence[str] = ()) -> Data
     return top_k_per_group(once, by, most, *order) if by else top_k(once, most, *order)
 
 
-def context(hits: DataFrame, by: list[str], budget: int, *order: Column) -> DataFrame:
-    """Labelled blocks of the hits that fit the budget, joined by blank lines; separators don't count."""
-    block = hits.withColumn("_block", F.concat(F.lit("["), F.col("source"), F.lit("]\n"), F.col("text")))
-    kept = prefix_budget(block, by, F.length("_block"), budget, *order)
-    ranked = kept.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+def block_label(source: Column, page: Column | None = None, spelt: bool = False) -> Column:
+    """``[source p.3]``, or ``[Source: source, p.3]`` where ``spelt``; a null, empty or "None" page is left out."""
+    head, mark = ("[Source: ", ", p.") if spelt else ("[", " p.")
+    text = F.nullif(F.nullif(page.cast("string"), F.lit("")), F.lit("None")) if page is not None else F.lit(None).cast("string")
+    return F.concat(F.lit(head), source, F.coalesce(F.concat(F.lit(mark), text), F.lit("")), F.lit("]"))
+
+
+def _block(hits: DataFrame) -> Column:
+    return F.concat(block_label(F.col("source"), F.col("page") if "page" in hits.columns else None), F.lit("\n"), F.col("text"))
+
+
+def context(hits: DataFrame, by: list[str], budget: int, *order: Column, key: str | None = None) -> DataFrame:
+    """Labelled blocks of the hits that fit the budget, joined by blank lines; separators don't count.
+
+    With a unique ``key`` only lengths are sorted: a block has three characters
+    at least, so the first ``budget`` / 3 rows of a group hold all that fit (the
+    limit is applied in each task), and the texts of the few kept rows are read
+    again.  Without one the hits themselves are, for lists of request size.
+    """
+    if key is None:
+        kept = prefix_budget(hits.withColumn("_block", _block(hits)), by, F.length("_block"), budget, *order)
+        kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    else:
+        sizes = top_k_per_group(hits.withColumn("_size", F.length(_block(hits))).drop("text"), by, budget // 3 + 1, *order, rank="_n")
+        fit = materialize(prefix_budget(sizes, by, F.col("_size"), budget, F.asc("_n")).select(key, "_n"), "context")
+        kept = hits.join(fit, key).withColumn("_block", _block(hits))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_block"))), lambda s: s["_block"]), "\n\n")
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("blocks"), joined.alias("context"))
+    return kept.groupBy(*by).agg(F.count(F.lit(1)).alias("blocks"), joined.alias("context"))
+
+
+def retrieve(chunks: DataFrame, k: int, question: str | None = None, points: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """The k best by vectors (``points`` and ``queries``) or by shared words (``question``): the caller chooses, nothing falls back."""
+    if (question is None) == (queries is None):
+        raise ValueError("give a question or embedded queries")
+    return dense_topk(points, queries, k) if queries is not None else term_overlap(chunks, question, k)
+
+
+def policy_chunks(points: DataFrame, queries: DataFrame, selected: DataFrame, registry: DataFrame, k: int = 3) -> DataFrame:
+    """(query_id, selection_no, hit_rank, collection, point_id, score): the k best of each selected collection, in the order of selection.
+
+    Selected collections that no registry knows are left out; nothing is
+    deduplicated and no score is too low.
+    """
+    known = selected.join(registry.select("collection").distinct(), "collection", "left_semi")
+    hits = dense_topk(points.join(known.select("collection"), "collection", "left_semi"), queries, k, per_collection=True)
+    return hits.join(known, "collection").select("query_id", "selection_no", "hit_rank", "collection", "point_id", "score")
+
+
+def landscape_chunks(points: DataFrame, queries: DataFrame, texts: DataFrame, per_query: int = 2, per_collection: int = 3, most: int = 14, least: float = 0.45) -> DataFrame:
+    """The best chunks over all collections: of each collection a few hits a query, each text's first in query order, the best of those, then the best of all.
+
+    ``texts`` (point_id, text) names the chunks; only the hits' are joined.
+    """
+    hits = dense_topk(points, queries, per_query, per_collection=True).where(F.col("score") >= least).join(texts, "point_id")
+    once = first_seen(hits, ["collection", F.left("text", F.lit(300))], F.asc("query_id"), F.asc("hit_rank"))
+    order = F.desc("score"), F.asc("collection"), F.asc("point_id")
+    return top_k(top_k_per_group(once, ["collection"], per_collection, *order), most, *order).select("collection", "point_id", "query_id", "text", "score")
+
+
+def registry_context(regulations: DataFrame, alerts: DataFrame) -> DataFrame:
+    """(row_no, text, source): what the registries know, as two blocks to put before the hits; an empty registry gives none.
+
+    Registries are lists of report size: each becomes one text.
+    """
+    said = lambda part, column: F.coalesce(F.concat(F.lit(part), F.col(column)), F.lit(""))
+    line = F.concat(F.lit("- "), "name", F.lit(": priority "), F.coalesce("priority", F.lit("medium")), said(", effective ", "effective_date"), said(" — ", "applicability"))
+    alert = F.concat(F.lit("- ["), F.upper("severity"), F.lit("] "), "title", F.lit(" ("), "category", F.lit("): "), "summary", F.lit(" Required action: "), "action_required")
+    parts = []
+    for n, (rows, text, head, source) in enumerate(((regulations, line, "Tracked regulations, with their priority:", "regulatory registry"), (alerts, alert, "Active alerts:", "regulatory alerts"))):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", text.alias("t")))), lambda s: s["t"]), "\n")
+        found = rows.agg(F.count(F.lit(1)).alias("n"), joined.alias("t")).where("n > 0")
+        parts.append(found.select(F.lit(n).alias("row_no"), F.concat(F.lit(head + "\n"), "t").alias("text"), F.lit(source).alias("source")))
+    return union_all(*parts)
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,4 +304,33 @@ def federated_all_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("context_budget", """WITH b AS (SELECT source, doc_id, '[' || source || ']' || chr(10) || text AS block FROM documents), u AS (SELECT *, sum(length(block)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used FROM b)
 SELECT source, count(*) AS blocks, md5(string_agg(block, chr(10) || chr(10) ORDER BY doc_id)) AS context FROM u WHERE used <= 9000 GROUP BY source""")
 def context_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["source"], 9000, F.asc("doc_id")).withColumn("context", F.md5("context"))
+    return context(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["source"], 9000, F.asc("doc_id"), key="doc_id").withColumn("context", F.md5("context"))
+
+
+#: A selection in order, with one collection that the registry doesn't know.
+SELECTED = ("col_7", "col_2", "col_99", "col_5")
+
+
+@register("policy_chunks", f"WITH {SQL_SCORES}, c(collection, selection_no) AS (VALUES {', '.join(f"('{c}', {i})" for i, c in enumerate(SELECTED))}), k AS (SELECT c.* FROM c WHERE collection IN (SELECT 'col_' || n_nationkey FROM nation)) SELECT query_id, selection_no, CAST(row_number() OVER (PARTITION BY query_id, collection ORDER BY s.score DESC, point_id) AS INTEGER) AS hit_rank, collection, point_id, {SQL_ROUNDED} FROM s JOIN k USING (collection) QUALIFY hit_rank <= 3", ("v_points",))
+def policy_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    selected = spark.createDataFrame([(c, i) for i, c in enumerate(SELECTED)], "collection string, selection_no int")
+    registry = table(spark, sf_dir, "nation").select(F.concat(F.lit("col_"), F.col("n_nationkey").cast("string")).alias("collection"))
+    return _rounded(policy_chunks(view(spark, sf_dir, "v_points"), _queries(spark, sf_dir), selected, registry))
+
+
+@register("landscape_chunks", f"WITH {SQL_SCORES}, h AS (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, point_id) AS hit_rank FROM s QUALIFY hit_rank <= 2), t AS (SELECT h.*, 'point ' || (point_id % 50) AS text FROM h WHERE score >= 0.45), o AS (SELECT *, row_number() OVER (PARTITION BY collection, text ORDER BY query_id, hit_rank) AS f FROM t QUALIFY f = 1), p AS (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY score DESC, point_id) AS n FROM o QUALIFY n <= 3) SELECT collection, point_id, query_id, text, {SQL_ROUNDED} FROM p ORDER BY p.score DESC, collection, point_id LIMIT 14", ("v_points",))
+def landscape_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = view(spark, sf_dir, "v_points")
+    texts = points.select("point_id", F.concat(F.lit("point "), (F.col("point_id") % 50).cast("string")).alias("text"))
+    return _rounded(landscape_chunks(points, _queries(spark, sf_dir), texts))
+
+
+@register("registry_context", """WITH a AS (SELECT p_partkey AS id, CASE WHEN p_size > 40 THEN 'high' ELSE 'medium' END AS severity, p_name AS title, p_brand AS category, p_type AS summary, 'Check ' || p_name AS action_required FROM part WHERE p_size > 48),
+r AS (SELECT n_nationkey AS id, n_name AS name, CASE WHEN n_regionkey > 2 THEN 'high' END AS priority, CASE WHEN n_nationkey % 2 = 0 THEN '2026-01-01' END AS effective_date, CASE WHEN n_nationkey % 3 = 0 THEN 'all lenders' END AS applicability FROM nation)
+SELECT 0 AS row_no, 'Tracked regulations, with their priority:' || chr(10) || string_agg('- ' || name || ': priority ' || coalesce(priority, 'medium') || coalesce(', effective ' || effective_date, '') || coalesce(' — ' || applicability, ''), chr(10) ORDER BY id) AS text, 'regulatory registry' AS source FROM r HAVING count(*) > 0
+UNION ALL SELECT 1, 'Active alerts:' || chr(10) || string_agg('- [' || upper(severity) || '] ' || title || ' (' || category || '): ' || summary || ' Required action: ' || action_required, chr(10) ORDER BY id), 'regulatory alerts' FROM a HAVING count(*) > 0""")
+def registry_context_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    regulations = table(spark, sf_dir, "nation").select(key.alias("id"), F.col("n_name").alias("name"), F.when(F.col("n_regionkey") > 2, "high").alias("priority"), F.when(key % 2 == 0, "2026-01-01").alias("effective_date"), F.when(key % 3 == 0, "all lenders").alias("applicability"))
+    alerts = table(spark, sf_dir, "part").where("p_size > 48").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 40, "high").otherwise("medium").alias("severity"), F.col("p_name").alias("title"), F.col("p_brand").alias("category"), F.col("p_type").alias("summary"), F.concat(F.lit("Check "), "p_name").alias("action_required"))
+    return registry_context(regulations, alerts)

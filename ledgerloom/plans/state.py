@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.relational import first_seen, top_k, union_all, upsert_latest
@@ -107,3 +107,46 @@ def collection_status(registry: DataFrame, points: DataFrame) -> DataFrame:
 def status_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = table(spark, sf_dir, "nation").select(F.concat(F.lit("col_"), F.col("n_nationkey").cast("string")).alias("collection"), F.col("n_name").alias("name"))
     return collection_status(registry, view(spark, sf_dir, "v_points"))
+
+
+def existing_collections(registry: DataFrame, points: DataFrame) -> DataFrame:
+    """Registered collections that have points."""
+    return registry.join(points.select("collection").distinct(), "collection", "left_semi")
+
+
+@register("existing_collections", "SELECT 'col_' || n_nationkey AS collection, n_name AS name FROM nation WHERE 'col_' || n_nationkey IN (SELECT collection FROM v_points)", ("v_points",))
+def existing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry = table(spark, sf_dir, "nation").select(F.concat(F.lit("col_"), F.col("n_nationkey").cast("string")).alias("collection"), F.col("n_name").alias("name"))
+    return existing_collections(registry, view(spark, sf_dir, "v_points"))
+
+
+def review_items(static: DataFrame, institutions: DataFrame, regulations: DataFrame) -> DataFrame:
+    """(id, title, module): fixed items (of those columns), then institutions and regulations (id, name) under their own prefix."""
+    competitive = institutions.select(F.concat(F.lit("competitive:"), F.col("id").cast("string")).alias("id"), F.concat("name", F.lit(" — profile & SWOT")).alias("title"), F.lit("Competitive").alias("module"))
+    regulatory = regulations.select(F.concat(F.lit("regulatory:"), F.col("id").cast("string")).alias("id"), F.col("name").alias("title"), F.lit("Regulatory").alias("module"))
+    return union_all(static.select("id", "title", "module"), competitive, regulatory)
+
+
+STATIC_ITEMS = (("macro:brief", "Macro brief", "Macro"), ("policy:draft", "Policy draft", "Policy"))
+
+
+@register("review_items", "SELECT * FROM (VALUES ('macro:brief', 'Macro brief', 'Macro'), ('policy:draft', 'Policy draft', 'Policy')) t(id, title, module) UNION ALL SELECT 'competitive:' || s_suppkey, s_name || ' — profile & SWOT', 'Competitive' FROM supplier UNION ALL SELECT 'regulatory:' || n_nationkey, n_name, 'Regulatory' FROM nation")
+def review_items_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    institutions = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    regulations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return review_items(spark.createDataFrame(list(STATIC_ITEMS), "id string, title string, module string"), institutions, regulations)
+
+
+def all_collections(macro: str, institutions: DataFrame, regulations: DataFrame) -> DataFrame:
+    """(place, collection, label, module) of every configured collection: the macro one, then institutions and regulations (id, collection, name) by id."""
+    spark = institutions.sparkSession
+    first = spark.createDataFrame([(0, "", macro, "Macro-economic Intelligence", "Macro")], "part int, id string, collection string, label string, module string")
+    parts = [d.select(F.lit(i).alias("part"), F.col("id").cast("string").alias("id"), "collection", F.col("name").alias("label"), F.lit(m).alias("module")) for i, (d, m) in enumerate(((institutions, "Competitive"), (regulations, "Regulatory")), 1)]
+    whole = union_all(first, *parts)  # registries: a row a collection
+    return whole.withColumn("place", F.row_number().over(Window.orderBy("part", "id"))).select("place", "collection", "label", "module")
+
+
+@register("all_collections", "WITH u AS (SELECT 0 AS part, '' AS id, 'macro' AS collection, 'Macro-economic Intelligence' AS label, 'Macro' AS module UNION ALL SELECT 1, CAST(s_suppkey AS VARCHAR), 'comp_' || s_suppkey, s_name, 'Competitive' FROM supplier UNION ALL SELECT 2, CAST(n_nationkey AS VARCHAR), 'reg_' || n_nationkey, n_name, 'Regulatory' FROM nation) SELECT CAST(row_number() OVER (ORDER BY part, id) AS INTEGER) AS place, collection, label, module FROM u")
+def all_collections_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = lambda t, k, n, prefix: table(spark, sf_dir, t).select(F.col(k).alias("id"), F.concat(F.lit(prefix), F.col(k).cast("string")).alias("collection"), F.col(n).alias("name"))
+    return all_collections("macro", named("supplier", "s_suppkey", "s_name", "comp_"), named("nation", "n_nationkey", "n_name", "reg_"))
