@@ -13,6 +13,9 @@ from ledgerloom.functions import text as T
 
 INSTITUTION = "id string, name string, type string, website string, headquarters string, msme_focus boolean, confidence string, note string, source_docs array<string>, source_urls map<string,string>, qdrant_collection string, slug string"
 REGULATION = "id string, display_name string, category string, rbi_url string, source_docs array<string>, qdrant_collection string, applicability string, effective_date string, priority string"
+ALERT = "title string, category string, severity string, summary string, action_required string, source_url string, ai_note string"
+REVIEW_ITEM = "id string, title string, module string"
+PHASE = "name string, status string, detail string"
 CRAWL = "id string, slug string, name string, start_url string, category string, collection string, qdrant_collection string, legacy_slug string, description string, max_pages int"
 
 
@@ -55,6 +58,11 @@ def registry(spark: SparkSession, path: str, schema: str = INSTITUTION) -> DataF
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", "*.json").json(path)
 
 
+def static_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A fixed list kept as one JSON array or as objects: alerts (ALERT), review items (REVIEW_ITEM), onboarding phases (PHASE)."""
+    return registry(spark, path, schema)
+
+
 def regulations(spark: SparkSession, path: str) -> DataFrame:
     """The regulation registry; an absent priority is medium."""
     return registry(spark, path, REGULATION).withColumn("priority", F.coalesce("priority", F.lit("medium")))

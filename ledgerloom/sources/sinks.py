@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
@@ -56,18 +56,30 @@ def upsert(updates: DataFrame, path: str, key: str, *order: Column) -> str:
     return target
 
 
+def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Delete all but the last ``keep`` versions that upsert() wrote below ``path``; returns what went."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    versions = sorted((s.getPath() for s in fs.listStatus(hadoop)), key=lambda p: p.toString()) if fs.exists(hadoop) else []
+    old = versions[: max(0, len(versions) - max(1, keep))]
+    for version in old:
+        fs.delete(version, True)
+    return [v.toString() for v in old]
+
+
 def json_lines(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
 def markdown(pages: DataFrame, path: str) -> None:
-    """Pages (slug, title, url, body) as Markdown text, a folder a slug."""
+    """Pages (slug, title, url, body) as Markdown text: a folder a slug, and below it one a page, named after its url's path."""
     body = F.concat(F.lit("# "), F.col("title"), F.lit("\n\nURL: "), F.col("url"), F.lit("\n\n"), F.col("body"))
-    pages.select("slug", body.alias("value")).write.mode("overwrite").option("lineSep", "\n\f\n").partitionBy("slug").text(path)
+    name = T.safe_file_name(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1))
+    pages.select("slug", name.alias("file"), body.alias("value")).write.mode("overwrite").option("lineSep", "\n\f\n").partitionBy("slug", "file").text(path)
 
 
 def register_new(entries: DataFrame, existing: DataFrame, path: str) -> None:
-    """Append registry entries under slugs of their names; ValueError for an empty slug or one that is taken."""
+    """Append registry entries, a file each in a folder named by the slug of its name; ValueError for an empty slug or one that is taken."""
     named = entries.withColumn("id", T.slug(F.col("name"), ampersand=False))
     bad = named.where(F.coalesce(F.col("id"), F.lit("")) == "").limit(1)
     taken = named.join(existing.select("id"), "id", "left_semi").limit(1)
@@ -75,4 +87,4 @@ def register_new(entries: DataFrame, existing: DataFrame, path: str) -> None:
         raise ValueError("an entry has no name")
     if not taken.isEmpty():
         raise ValueError(f"taken: {taken.first().id}")
-    named.write.mode("append").json(path)
+    named.withColumn("entry", F.col("id")).write.mode("append").partitionBy("entry").json(path)
