@@ -19,9 +19,9 @@ DEFAULT_PERIOD = ("monthly", "2026-05")
 def period_range(frequency: str, period: str, start: dt.date | None = None, end: dt.date | None = None, default: tuple[str, str] | None = None) -> tuple[dt.date, dt.date]:
     """First and last day; given dates take the period's place.
 
-    An unknown frequency is the ``default`` period (DEFAULT_PERIOD, say), and an unknown quarter is
-    January to March of its own year.  ValueError on a period that can't be
-    read, and on an unknown frequency where ``default`` is None.
+    An unknown frequency is the ``default`` period (DEFAULT_PERIOD, say), and
+    an unknown quarter is January to March of its own year.  ValueError on a
+    period that can't be read, and on an unknown frequency without a default.
     """
     if start and end:
         return start, end

@@ -18,7 +18,7 @@ from ledgerloom.operators.relational import union_all
 from ledgerloom.plans import documents as D
 from ledgerloom.plans import returns as R
 from ledgerloom.plans.domain import table, view
-from ledgerloom.plans.registry import register, sql_lakhs
+from ledgerloom.plans.registry import ORACLES, register, sql_lakhs
 
 
 class Embedder(Protocol):
@@ -83,11 +83,72 @@ def profile(extracted: DataFrame, sections: Sequence[str], fallback: str = "not
     return filled.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_no", "part"))), lambda s: s["part"]), "\n\n").alias("profile"))
 
 
-@register("profile_markdown")
+@register("profile_markdown", f"WITH l AS ({ORACLES['extract_lines']}), b AS (SELECT category, string_agg('- ' || line, chr(10) ORDER BY line_no) AS body FROM l GROUP BY category), n(section_no, category) AS (VALUES {', '.join(f'({i}, {c!r})' for i, c in enumerate([*D.CATEGORIES, 'highlights']))}) SELECT string_agg('## ' || n.category || chr(10) || coalesce(body, '- not found in the pages.'), chr(10) || chr(10) ORDER BY section_no) AS profile FROM n LEFT JOIN b ON n.category = b.category")
 def profile_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile(D.extracted_lines(table(spark, sf_dir, "documents"), D.CATEGORIES), [*D.CATEGORIES, "highlights"])
 
 
+#: Points of a rule-based brief: quadrant, a pattern over the extracted lines (none: always), whether it must be found, and the point.
+POINTS = (
+    ("Strengths", None, True, "The institution publishes pages that can be read."), ("Strengths", "license|version", True, "Licences are named in the pages."), ("Strengths", "thing|entre", True, "Local presence shows in the pages."),
+    ("Weaknesses", None, True, "What the pages say needs a second source."), ("Weaknesses", "loan|credit", False, "No credit product is named."),
+    ("Opportunities", None, True, "Products can be described more fully."), ("Threats", None, True, "Others offer the same."),
+)
+
+
+def points(lines: DataFrame, rules: Sequence[tuple[str, str | None, bool, str]] = POINTS) -> DataFrame:
+    """(quadrant, place, point): the rules that hold over all ``lines`` (line), in their order."""
+    found = [F.lit(True) if p is None else F.coalesce(F.bool_or(F.lower("line").rlike(p)), F.lit(False)) for _, p, _, _ in rules]
+    said = [F.when(f == F.lit(wanted), F.struct(F.lit(q).alias("quadrant"), F.lit(i).alias("place"), F.lit(point).alias("point"))) for i, (f, (q, _, wanted, point)) in enumerate(zip(found, rules))]
+    return lines.agg(F.count(F.lit(1)).alias("_n"), F.array_compact(F.array(*said)).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+
+
+def _joined(rows: DataFrame, order: str, text: Column) -> DataFrame:
+    """One row: the texts of a report's rows as lines."""
+    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t")))), lambda s: s["t"]), "\n").alias("body"))
+
+
+#: Sections of a full profile from extracted lines: title, category, and what stands for none.
+SECTIONS = (("Institution profile", "profile", "Not found."), ("Products", "products", "Not found."), ("MSME focus", "focus", "No explicit focus found."), ("Public highlights", "highlights", "Not found."), ("Geographic presence", "presence", "Not found."))
+OBSERVATIONS = ("This is a first extraction; check it before it is published.", "Read the pages again when new reports appear.")
+
+
+def full_profile(name: str, url: str, extracted: DataFrame, links: DataFrame, rules: Sequence[tuple] = POINTS, observations: Sequence[str] = OBSERVATIONS, sections: Sequence[tuple[str, str, str]] = SECTIONS) -> DataFrame:
+    """One Markdown text of eight sections: extracted lines (category, line_no, line), points by quadrant, observations, and links (link_no, label, url).
+
+    A corpus without lines and links gives the same sections with their
+    fallbacks, and no points.
+    """
+    spark = extracted.sparkSession
+    own = [(extracted.where(F.col("category") == category), "line_no", F.concat(F.lit("- "), F.col("line")), title, f"- {none}") for title, category, none in sections]
+    marks = points(extracted, rules)
+    heads = [q for q in dict.fromkeys(r[0] for r in rules)]
+    some = marks.join(extracted.agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(1)), F.col("_k") == 1).where("_n > 0").drop("_k", "_n")
+    parts = [_joined(rows, order, text).select(F.concat(F.lit(f"## {title}\n\n"), F.coalesce(F.nullif("body", F.lit("")), F.lit(none))).alias("part")) for rows, order, text, title, none in own]
+    quadrants = [_joined(some.where(F.col("quadrant") == q), "place", F.concat(F.lit("- "), F.col("point"))).select(F.concat(F.lit(("## SWOT\n\n" if i == 0 else "") + f"### {q}\n"), F.coalesce(F.nullif("body", F.lit("")), F.lit("- Not generated."))).alias("part")) for i, q in enumerate(heads)]
+    said = spark.range(1).select(F.lit("## Strategic observations\n\n" + "\n".join(f"- {o}" for o in observations)).alias("part"))
+    seen = _joined(links, "link_no", F.concat(F.lit("- "), F.col("label"), F.lit(": "), F.col("url"))).select(F.concat(F.lit("## Links to source documents\n\n"), F.coalesce(F.nullif("body", F.lit("")), F.lit(f"- Start: {url}"))).alias("part"))
+    head = spark.range(1).select(F.lit(f"# {name}\n\nStart: {url}").alias("part"))
+    whole = union_all(*[p.withColumn("n", F.lit(i)) for i, p in enumerate([head, *parts, *quadrants, said, seen])])
+    return whole.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda s: s["part"]), "\n\n").alias("profile"))
+
+
+def _sql_holds(pattern: str | None) -> str:
+    return "TRUE" if pattern is None else f"(SELECT coalesce(bool_or(regexp_matches(lower(line), '{pattern}')), FALSE) FROM l)"
+
+
+SQL_POINTS = ", ".join(f"({i}, '{q}', {_sql_holds(p)} = {wanted}, '{point}')" for i, (q, p, wanted, point) in enumerate(POINTS))
+SQL_OBSERVED = " || chr(10) || ".join(f"'- {o}'" for o in OBSERVATIONS)
+SQL_QUADRANTS = " || chr(10) || chr(10) || ".join(f"'### {q}' || chr(10) || coalesce((SELECT string_agg('- ' || point, chr(10) ORDER BY place) FROM p WHERE quadrant = '{q}' AND holds AND EXISTS (SELECT 1 FROM l)), '- Not generated.')" for q in dict.fromkeys(r[0] for r in POINTS))
+SQL_SECTIONS = " || chr(10) || chr(10) || ".join(f"'## {t}' || chr(10) || chr(10) || coalesce((SELECT string_agg('- ' || line, chr(10) ORDER BY line_no) FROM l WHERE category = '{c}'), '- {none}')" for t, c, none in SECTIONS)
+
+
+@register("full_profile", f"WITH l AS MATERIALIZED ({ORACLES['extract_lines']}), k AS ({ORACLES['page_links']}), p AS (SELECT * FROM (VALUES {SQL_POINTS}) v(place, quadrant, holds, point)) SELECT '# Bank' || chr(10) || chr(10) || 'Start: https://b.example' || chr(10) || chr(10) || {SQL_SECTIONS} || chr(10) || chr(10) || '## SWOT' || chr(10) || chr(10) || {SQL_QUADRANTS} || chr(10) || chr(10) || '## Strategic observations' || chr(10) || chr(10) || {SQL_OBSERVED} || chr(10) || chr(10) || '## Links to source documents' || chr(10) || chr(10) || coalesce((SELECT string_agg('- ' || label || ': ' || url, chr(10) ORDER BY link_no) FROM k), '- Start: https://b.example') AS profile")
+def full_profile_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return full_profile("Bank", "https://b.example", D.extracted_lines(documents, D.CATEGORIES), D.document_links(D._page_documents(spark, sf_dir), D.CATEGORIES))
+
+
 def preview(text: Column) -> Column:
     """A card's text: citations, labels and Markdown marks removed."""
     t = F.regexp_replace(text, r"\([^()]*p\.\s*\d+\)", "")

@@ -243,7 +243,21 @@ def chunk_chars_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(chunks(_docs(spark, sf_dir), T.char_chunks(F.col("text"))))
 
 
-@register("chunk_paragraphs")
+def _sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _sql_paragraphs(keys: str, source: str) -> str:
+    """CTEs of the paragraph windows of ``source`` (keys, text): each window's start follows from the one before it."""
+    return f"""t AS (SELECT {keys}, {_sql_strip("regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g')")} AS t FROM {source}),
+r AS (SELECT {keys}, t, length(t) AS n, 0 AS start FROM t WHERE length(t) > 0
+  UNION ALL SELECT {keys}, t, n, CASE WHEN start + 1800 >= n THEN n ELSE greatest(start + CASE WHEN cut > 400 THEN cut ELSE 1800 END - 250, start + 1) END
+  FROM (SELECT *, length(substr(t, start + 1, 1800)) - length(string_split(substr(t, start + 1, 1800), chr(10) || chr(10))[-1]) - 2 AS cut FROM r WHERE start < n) w),
+e AS (SELECT *, length(substr(t, start + 1, 1800)) - length(string_split(substr(t, start + 1, 1800), chr(10) || chr(10))[-1]) - 2 AS cut FROM r WHERE start < n),
+p AS (SELECT {keys}, start, {_sql_strip("substr(t, start + 1, CASE WHEN start + 1800 >= n THEN n - start WHEN cut > 400 THEN cut ELSE 1800 END)")} AS piece FROM e)"""
+
+
+@register("chunk_paragraphs", f"WITH RECURSIVE {_sql_paragraphs('doc_id', 'documents')} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS chunk_index, length(piece) AS chars, md5(piece) AS digest FROM p WHERE piece <> ''")
 def chunk_paragraphs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(chunks(_docs(spark, sf_dir), T.paragraph_chunks(F.col("text"))))
 
@@ -256,7 +270,7 @@ def section_chunks(documents: DataFrame) -> DataFrame:
     return found.select("doc_id", "section", (F.row_number().over(order) - 1).alias("chunk_index"), "text")
 
 
-@register("split_sections")
+@register("split_sections", f"WITH RECURSIVE s AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations), {_sql_paragraphs('conv_id, turn', 's')} SELECT conv_id AS doc_id, 'turn ' || lpad(CAST(turn AS VARCHAR), 6, '0') AS section, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, start) - 1 AS INTEGER) AS chunk_index, md5(piece) AS digest FROM p WHERE piece <> ''")
 def sections_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as documents: a heading for each turn."""
     turn = F.concat(F.lit("## turn "), F.lpad(F.col("turn").cast("string"), 6, "0"), F.lit("\n"), F.coalesce("text", F.lit("")))
@@ -449,7 +463,8 @@ def four_part_brief(text: Column, headings: Sequence[str] = HEADINGS) -> Column:
     return F.array_join(F.concat(*blocks), "\n")
 
 
-@register("swot_quadrants")
+@register("swot_quadrants", r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), q AS (SELECT doc_id, l, len(l) AS n, unnest(['strengths', 'weaknesses', 'opportunities', 'threats']) AS quadrant, unnest([0, 1, 2, 3]) AS i FROM l),
+s AS (SELECT doc_id, quadrant, list_transform(l[n * i // 4 + 1 : n * (i + 1) // 4], lambda x: regexp_replace('- ' || x, '^\s*[-*•]\s+', '')) AS items FROM q) SELECT doc_id, quadrant, CAST(len(items) AS INTEGER) AS n, md5(array_to_string(items, '|')) AS digest FROM s WHERE len(items) > 0""")
 def quadrants_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines of each document as a four-part brief, then parsed again."""
     docs = _docs(spark, sf_dir).select("doc_id", four_part_brief(F.col("text")).alias("text"))
