@@ -23,14 +23,14 @@ def held(key: Hashable, make: Callable[[], T]) -> T:
     if key not in _held:
         _held.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        _trim()
+        give_back()
         _held[key] = make()
     return _held[key]
 
 
-def _trim() -> None:
-    """Give the C library's free memory back to the system, where it can do that."""
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+def give_back() -> None:
+    """Give free memory back to the system, so that an idle worker leaves it to the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library can do that
     if trim is not None:
         trim(0)

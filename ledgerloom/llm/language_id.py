@@ -15,15 +15,16 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.held import held
-from ledgerloom.llm.words import word_slices
+from ledgerloom.llm.words import GOLDEN, code_points, mix64, word_slices
 from ledgerloom.storage import materialize
 
 UNDETERMINED = "und"
@@ -36,8 +37,6 @@ ALL_WORDS = 1_000_000
 LONGEST_GRAM = 5
 #: Words of evidence at most; more text makes a score no surer.
 EVIDENCE = 30
-#: Words that a worker keeps with their scores, and entries of all of them.
-CACHED_WORDS, CACHED_ENTRIES = 200_000, 1_000_000
 #: Scores (documents times languages) that are summed at once.
 TABLE = 2_000_000
 EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»“”„’‘¿¡…–—"
@@ -47,11 +46,10 @@ EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»
 class Items:
     """Words, or n-grams of any length: where each one's entries lie, its kind (0: word, else the length) and its own term."""
 
-    index: dict[str, int]
+    names: list[str]
     ends: np.ndarray  # item i has entries ends[i] to ends[i + 1]
     langs: np.ndarray
     gains: np.ndarray  # log(count + 1/2) - log(1/2)
-    kinds: np.ndarray
     own: np.ndarray  # log of the sum of (count + 1/2) / size over the languages
 
     @staticmethod
@@ -61,11 +59,22 @@ class Items:
         names, first = np.unique(found["item"].to_numpy(object).astype(str), return_index=True) if len(found) else (np.zeros(0, str), np.zeros(0, np.int64))
         at = {lang: j for j, lang in enumerate(languages)}
         langs = found["lang"].map(at).to_numpy(np.int32)
-        n, kinds = found["n"].to_numpy(np.float64), found["size"].to_numpy(np.int64)[first].astype(np.int8)
+        n, kinds = found["n"].to_numpy(np.float64), found["size"].to_numpy(np.int64)[first]
         ends = np.append(first, len(found)).astype(np.int64)
         item = np.repeat(np.arange(len(names)), np.diff(ends))
         own = np.log((0.5 / sizes).sum(axis=1)[kinds] + np.bincount(item, weights=n / sizes[kinds[item], langs], minlength=len(names)))
-        return Items({str(x): i for i, x in enumerate(names)}, ends, langs, np.log(2 * n + 1).astype(np.float32), kinds, own.astype(np.float32))
+        return Items([str(x) for x in names], ends, langs, np.log(2 * n + 1).astype(np.float32), own.astype(np.float32))
+
+
+@dataclass
+class Scored:
+    """Words' scores as flat arrays: kind (0: known, 1 to 5: by n-grams of that length, -1: nothing is known, -2: no letter), own term, and entries."""
+
+    kinds: np.ndarray
+    own: np.ndarray
+    ends: np.ndarray
+    langs: np.ndarray
+    gains: np.ndarray
 
 
 @dataclass
@@ -75,86 +84,98 @@ class LanguageModel:
     words: Items
     grams: Items
     rest: np.ndarray  # log(1/2) less the log add-half total, by size and language
-    cache: dict[str, int] = field(default_factory=dict)
-    store: "Scored | None" = None
+    known: pa.Array | None = None
+    hashes: tuple[np.ndarray, np.ndarray] | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}, "store": None}
-
-    def score(self, raw: str) -> tuple[int, float, np.ndarray, np.ndarray] | None:
-        """(kind, own term, languages, gains) of one word as written; None where it has no letter.
-
-        Kind -1 is a word of which nothing is known: every language is as likely.
-        """
-        if not any(map(str.isalpha, raw)):
-            return None
-        word = normal(raw)
-        w = self.words
-        if (at := w.index.get(word)) is not None:
-            return 0, w.own[at], w.langs[w.ends[at] : w.ends[at + 1]], w.gains[w.ends[at] : w.ends[at + 1]]
-        edged, g = f"^{word}$", self.grams
-        for n in range(LONGEST_GRAM, 0, -1):
-            found = [i for i in (g.index.get(edged[i : i + n]) for i in range(len(edged) - n + 1)) if i is not None]
-            if found:
-                parts = [slice(g.ends[i], g.ends[i + 1]) for i in found]
-                return n, g.own[found].mean(), np.concatenate([g.langs[p] for p in parts]), np.concatenate([g.gains[p] for p in parts]) / len(found)
-        return -1, 0.0, NO_LANGS, NO_GAINS
+        return self.__dict__ | {"known": None, "hashes": None}
+
+    def _indexes(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The known words, and the n-grams' hashes in order with their places; made once a worker."""
+        if self.known is None or self.hashes is None:
+            self.known = pa.array(self.words.names, pa.string())
+            letters, starts = code_points(self.grams.names)
+            sizes = np.diff(starts)
+            found = np.zeros(len(sizes), np.uint64)
+            for size in range(1, LONGEST_GRAM + 1):
+                found[sizes == size] = _hashed(letters, starts[:-1][sizes == size], size)
+            order = np.argsort(found, kind="stable")
+            self.hashes = found[order], order
+        return self.known, *self.hashes
+
+    def score(self, words: pa.Array) -> Scored:
+        """Each word as written: its own entries where it is known, else the mean of its longest known n-grams'."""
+        n = len(words)
+        known, keys, order = self._indexes()
+        lettered = pc.match_substring_regex(words, r"\p{L}").to_numpy(zero_copy_only=False)
+        plain = normals(words)
+        at = pc.fill_null(pc.index_in(plain, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        kinds, own = np.where(lettered, -1, -2).astype(np.int8), np.zeros(n, np.float32)
+        mine = np.flatnonzero(lettered & (at >= 0))
+        kinds[mine], own[mine] = 0, self.words.own[at[mine]]
+        picks = [(mine, at[mine], np.ones(len(mine), np.float32), self.words)]
+        todo = np.flatnonzero(lettered & (at < 0))
+        letters, starts = code_points([f"^{w}$" for w in plain.take(pa.array(todo)).to_pylist()])
+        word = np.repeat(np.arange(len(todo)), np.diff(starts))
+        left, open_ = starts[1:][word] - np.arange(len(word)), np.ones(len(todo), bool)
+        for size in range(LONGEST_GRAM, 0, -1):
+            place = np.flatnonzero((left >= size) & open_[word])
+            if not len(place) or not len(keys):
+                continue
+            hashed = _hashed(letters, place, size)
+            found = np.minimum(np.searchsorted(keys, hashed), len(keys) - 1)
+            hit = keys[found] == hashed
+            of, item = word[place[hit]], order[found[hit]]
+            times = np.bincount(of, minlength=len(todo))
+            some = np.flatnonzero(times)
+            kinds[todo[some]], open_[some] = size, False
+            own[todo[some]] = (np.bincount(of, weights=self.grams.own[item], minlength=len(todo))[some] / times[some]).astype(np.float32)
+            picks.append((todo[of], item, (1 / times[of]).astype(np.float32), self.grams))
+        return _gathered(kinds, own, picks)
 
     def posterior(self, raw: str) -> np.ndarray | None:
-        """Log posterior of one word over all languages."""
-        found = self.score(raw)
-        if found is None:
+        """Log posterior of one word over all languages; None where it has no letter."""
+        s = self.score(pa.array([raw]))
+        if s.kinds[0] == -2:
             return None
-        kind, own, langs, gains = found
-        return self.rest[kind] - own + np.bincount(langs, weights=gains, minlength=len(self.languages))
-
-    def look_up(self, words: list[str]) -> tuple["Scored", np.ndarray]:
-        """A store that holds the words' scores, and each one's place in it (-1: no letter)."""
-        if self.store is None:
-            self.store = Scored()
-        get = self.cache.get
-        places = np.fromiter((get(w, -2) for w in words), np.int64, len(words))
-        missing = np.flatnonzero(places == -2).tolist()
-        if not missing:
-            return self.store, places
-        found = [self.score(words[i]) for i in missing]
-        scored = [f for f in found if f is not None]
-        at = iter(range(len(self.store.kinds), len(self.store.kinds) + len(scored)))
-        places[missing] = [-1 if f is None else next(at) for f in found]
-        whole = self.store.extended(scored)
-        room = max(0, CACHED_WORDS - len(self.cache)) if len(whole.langs) <= CACHED_ENTRIES else 0
-        if room >= len(missing):
-            self.store = whole
-            self.cache.update(zip((words[i] for i in missing), places[missing].tolist()))
-        return whole, places
-
-
-NO_LANGS, NO_GAINS = np.zeros(0, np.int32), np.zeros(0, np.float32)
-
-
-@dataclass
-class Scored:
-    """Words' scores as flat arrays."""
-
-    kinds: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int8))
-    own: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
-    ends: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    langs: np.ndarray = field(default_factory=lambda: NO_LANGS)
-    gains: np.ndarray = field(default_factory=lambda: NO_GAINS)
-
-    def extended(self, more: list[tuple[int, float, np.ndarray, np.ndarray]]) -> "Scored":
-        sizes = np.fromiter((len(m[2]) for m in more), np.int64, len(more))
-        return Scored(
-            np.concatenate((self.kinds, np.fromiter((m[0] for m in more), np.int8, len(more)))),
-            np.concatenate((self.own, np.fromiter((m[1] for m in more), np.float32, len(more)))),
-            np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes))),
-            np.concatenate((self.langs, *(m[2] for m in more))),
-            np.concatenate((self.gains, *(m[3] for m in more))),
-        )
+        return self.rest[s.kinds[0]] - s.own[0] + np.bincount(s.langs, weights=s.gains, minlength=len(self.languages))
+
+
+def _hashed(letters: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of the n-grams of this size at these places."""
+    out = np.full(len(starts), size, np.uint64)
+    for j in range(size):
+        out = mix64(out * GOLDEN + letters[starts + j])
+    return out
+
+
+def _gathered(kinds: np.ndarray, own: np.ndarray, picks: list[tuple[np.ndarray, np.ndarray, np.ndarray, Items]]) -> Scored:
+    """Entries of (word, item, weight) picks by word; a word's picks are of one list, in order."""
+    sizes = np.zeros(len(kinds), np.int64)
+    for word, item, _, items in picks:
+        sizes += np.bincount(word, weights=np.diff(items.ends)[item], minlength=len(kinds)).astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    langs, gains = np.zeros(ends[-1], np.int32), np.zeros(ends[-1], np.float32)
+    for word, item, weight, items in picks:
+        n = np.diff(items.ends)[item]
+        stops = np.cumsum(n)
+        inside = np.arange(stops[-1] if len(stops) else 0) - np.repeat(stops - n, n)  # entry within its item
+        before = np.concatenate(([0], stops[:-1])) if len(stops) else stops
+        first = np.zeros(len(kinds), np.int64)
+        first[word[::-1]] = before[::-1]  # entries of this list before the word's first pick
+        target = np.repeat(ends[word] + before - first[word], n) + inside
+        source = np.repeat(items.ends[item], n) + inside
+        langs[target], gains[target] = items.langs[source], items.gains[source] * np.repeat(weight, n)
+    return Scored(kinds, own, ends, langs, gains)
+
+
+def normals(words: pa.Array) -> pa.Array:
+    """Words without marks at the ends, in lower case."""
+    return pc.utf8_lower(pc.utf8_trim(words, EDGES))
 
 
 def normal(raw: str) -> str:
-    return raw.strip(EDGES).lower()
+    return normals(pa.array([raw]))[0].as_py()
 
 
 def in_training(doc_id: Column) -> Column:
@@ -165,7 +186,7 @@ def in_training(doc_id: Column) -> Column:
 def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, item, count) of the words of each slice, numbers and punctuation left out."""
     for part in word_slices(batches):
-        words = [normal(w) if any(map(str.isalpha, w)) else "" for w in part.words.to_pylist()]
+        words = pc.if_else(pc.match_substring_regex(part.words, r"\p{L}"), normals(part.words), "").to_pylist()
         documents = np.repeat(np.arange(part.rows.num_rows), part.counts)
         langs = part.rows.column(1).dictionary_encode()
         keys = langs.indices.to_numpy(zero_copy_only=False)[documents].astype(np.int64) * len(words) + part.codes
@@ -226,12 +247,12 @@ def fitted(words, grams) -> LanguageModel:
             sizes[size] = [totals.get(lang, 0) + 0.5 * part["item"].nunique() for lang in languages]
     rest = np.concatenate((np.log(0.5 / sizes), np.full((1, sizes.shape[1]), -np.log(max(1, len(languages))))))  # the last row is kind -1
     found = Items.fit(words, languages, sizes), Items.fit(grams, languages, sizes)
-    key = f"{len(found[0].index)}-{len(found[1].index)}-{float(found[0].own.sum())!r}"
+    key = f"{len(found[0].names)}-{len(found[1].names)}-{float(found[0].own.sum())!r}"
     return LanguageModel(key, languages, *found, rest)
 
 
 def _kept_model(model: LanguageModel) -> LanguageModel:
-    """The worker's copy of the model, with the words it has scored so far."""
+    """The worker's copy of the model, with its indexes."""
     return held(("language", model.key), lambda: model)
 
 
@@ -258,14 +279,14 @@ def _labels(model: LanguageModel, part) -> tuple[list[str], np.ndarray]:
     n, width = part.rows.num_rows, len(model.languages)
     if not width:
         return [UNDETERMINED] * n, np.zeros(n)
-    scored, places = model.look_up(part.words.to_pylist())
+    scored = model.score(part.words)
     labels, scores = [], []
     step = max(1, TABLE // width)
     for a in range(0, n, step):
         b = min(n, a + step)
-        own = places[part.codes[part.offsets[a] : part.offsets[b]]]
-        documents = np.repeat(np.arange(b - a), part.counts[a:b])[own >= 0]
-        own = own[own >= 0]
+        own = part.codes[part.offsets[a] : part.offsets[b]]
+        lettered = scored.kinds[own] > -2
+        documents, own = np.repeat(np.arange(b - a), part.counts[a:b])[lettered], own[lettered]
         lettered = np.bincount(documents, minlength=b - a)
         kinds = np.bincount(documents * len(model.rest) + scored.kinds[own] % len(model.rest), minlength=(b - a) * len(model.rest)).reshape(b - a, -1)
         total = kinds @ model.rest - np.bincount(documents, weights=scored.own[own], minlength=b - a)[:, None]

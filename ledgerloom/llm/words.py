@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ledgerloom.llm.held import give_back
+
 #: Text bytes of a slice; a longer document is a slice of its own.
 SLICE_BYTES = 4 << 20
 
@@ -48,6 +50,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             size += more
     if held:
         yield _joined(held, column)
+    held.clear()
+    give_back()
 
 
 def _text_bytes(rows: pa.RecordBatch, column: str) -> int:
@@ -89,6 +93,12 @@ def word_slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit:
         yield WordSlice(rows, text, offsets, coded.indices.to_numpy(zero_copy_only=False), coded.dictionary)
 
 
+def code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all words, and where each word begins (and the end)."""
+    starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), starts
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x.astype(np.uint64, copy=True)
