@@ -34,7 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifiers keep."""
     model = co_training.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _as(docs, co_training.score(docs, model, ("__text", "__meta", "__score", "__kept")).where("__kept"))
+    return _as(docs, co_training.score(docs, model, ("__text", "__page", "__score", "__kept")).where("__kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
