@@ -19,6 +19,7 @@ from ledgerloom.plans import details as D
 from ledgerloom.plans import returns as R
 from ledgerloom.plans.domain import view
 from ledgerloom.plans.registry import ORACLES, register, sql_lakhs
+from ledgerloom.storage import materialize
 
 # The capital lines (code, particulars, lakhs), before the period's capital factor.
 CAPITAL_LINES = (
@@ -118,9 +119,14 @@ SHEETS = ("PART1", "PART2", "PART3", "PART4", "PART6", "PART8", "PART8A", "PART8
 
 
 def report(spark: SparkSession, loans: DataFrame, customers: DataFrame, history: DataFrame, investments: DataFrame, shares: DataFrame, period: DataFrame, as_of: str, generated: str, merged: DataFrame | None = None) -> DataFrame:
-    """All sheets of the return for a period."""
-    totals, quality = R.portfolio_totals(loans, as_of), R.asset_quality(history, as_of)
-    whole = summary(period, totals, R.npa_ratio(quality, totals))
+    """All sheets of the return for a period.
+
+    Eight sheets read the loan book and several its totals, so these are
+    written once instead of computed for each.
+    """
+    loans = materialize(loans, "return-loans")
+    totals, quality = materialize(R.portfolio_totals(loans, as_of), "return-totals"), materialize(R.asset_quality(history, as_of), "return-quality")
+    whole = materialize(summary(period, totals, R.npa_ratio(quality, totals)), "return-summary")
     money = lambda c: F.col(c).cast("decimal(24,2)")
     frequency = F.initcap("frequency")
     filing = single(period, "FilingInfo", [
