@@ -16,19 +16,19 @@ table.  What the driver fits on is bounded: ``LABELLED_ROWS`` labelled rows, and
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.held import held
 from ledgerloom.llm.quality_rules import FEATURES, counts_of, shares_of
-from ledgerloom.llm.words import WordSlice, word_slices
+from ledgerloom.llm.words import GOLDEN, WordSlice, code_points, mix64, word_slices
 from ledgerloom.storage import materialize
 
 #: Labelled rows that the models are fitted on at most, the first by a hash of the id.
@@ -40,24 +40,60 @@ TEXT_BITS = 14
 CATEGORY_BUCKETS = 32
 CATEGORIES, LENGTH = ("lang", "source", "url"), "n_chars"
 ROUNDS, SURE, SPARE = 3, 0.95, 3
+#: Parts by key in which the tasks' first rows are merged, step by step.
+MERGED = (1024, 32, 1)
 STEPS, RATE, RIDGE = 120, 0.1, 1e-4
 #: Documents with at least this score are kept.
 LEAST_SCORE = 0.35
-#: Words that a worker keeps with their weight.
-CACHED_WORDS = 200_000
 STATISTICS = ["log_words", "log_lines", "words_a_line", *FEATURES]
 
 
-def _shape(word: str) -> str:
-    """Letters as A or a, digits as 0, runs shortened to two."""
-    kinds = "".join("a" if c.islower() else "A" if c.isalpha() else "0" if c.isdigit() else c for c in word)
-    return re.sub(r"(.)\1{2,}", r"\1\1", kinds)
+#: A word's shape is its first characters after runs are shortened to two.
+SHAPE = 12
 
 
-def _buckets(words: list[str]) -> np.ndarray:
-    """Two hash buckets a word: itself, lower-cased, and its shape (at most 12 characters)."""
-    mask = (1 << TEXT_BITS) - 1
-    return np.array([(xxhash.xxh64_intdigest("w" + w.lower()) & mask, xxhash.xxh64_intdigest("s" + _shape(w)[:12]) & mask) for w in words], np.int64).reshape(-1, 2)
+def _kinds() -> np.ndarray:
+    """For each code point what stands for it in a shape: a, A, 0 or itself."""
+    out = np.arange(0x110000, dtype=np.uint64)
+    for i in range(0x110000):
+        c = chr(i)
+        if c.islower():
+            out[i] = ord("a")
+        elif c.isalpha():
+            out[i] = ord("A")
+        elif c.isdigit():
+            out[i] = ord("0")
+    return out
+
+
+_table: list[np.ndarray] = []
+
+
+def _buckets(words: pa.Array) -> np.ndarray:
+    """Two hash buckets a word: itself, lower-cased, and its shape (letters as A or a, digits as 0)."""
+    if not _table:
+        _table.append(_kinds())
+    out = np.empty((len(words), 2), np.int64)
+    letters, starts = code_points(pc.utf8_lower(words).to_pylist())
+    out[:, 0] = _hashed(letters, starts, 1)
+    letters, starts = code_points(words.to_pylist())
+    kinds = _table[0][letters.astype(np.int64)]
+    place = np.arange(len(kinds)) - np.repeat(starts[:-1], np.diff(starts))
+    run = np.zeros(len(kinds), bool)
+    run[2:] = (kinds[2:] == kinds[1:-1]) & (kinds[2:] == kinds[:-2]) & (place[2:] >= 2)
+    kept = np.concatenate(([0], np.cumsum(~run)))
+    starts = kept[starts]
+    kinds, place = kinds[~run], np.arange(kept[-1]) - np.repeat(starts[:-1], np.diff(starts))
+    ends = np.concatenate(([0], np.cumsum(np.minimum(np.diff(starts), SHAPE))))
+    out[:, 1] = _hashed(kinds[place < SHAPE], ends, 2)
+    return out
+
+
+def _hashed(letters: np.ndarray, starts: np.ndarray, kind: int) -> np.ndarray:
+    """A bucket for each run of letters: the sum of its letters' hashes by place."""
+    place = np.arange(len(letters)) - np.repeat(starts[:-1], np.diff(starts))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(letters * GOLDEN + place.astype(np.uint64)))))
+    return (mix64(total[starts[1:]] - total[starts[:-1]] + np.uint64(kind)) >> np.uint64(64 - TEXT_BITS)).astype(np.int64)
 
 
 def _statistics(part: WordSlice) -> np.ndarray:
@@ -163,25 +199,14 @@ class CoModel:
     scale: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # mean and spread of the statistics and of the page view
     platt: tuple[tuple[float, float], tuple[float, float]] = ((1.0, 0.0), (1.0, 0.0))
     prior: float = 0.0
-    cache: dict[str, float] = field(default_factory=dict)
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}}
 
     @property
     def key(self) -> tuple[float, float]:
         return float(np.abs(self.text[0]).sum()), float(np.abs(self.page[0]).sum())
 
-    def word_weights(self, words: list[str]) -> np.ndarray:
+    def word_weights(self, words: pa.Array) -> np.ndarray:
         """Each word's weight in the text model."""
-        found = np.fromiter((self.cache.get(w, np.nan) for w in words), np.float64, len(words))
-        missing = np.flatnonzero(np.isnan(found))
-        if len(missing):
-            new = [words[i] for i in missing]
-            found[missing] = self.text[0][_buckets(new)].sum(axis=1)
-            room = max(0, CACHED_WORDS - len(self.cache))
-            self.cache.update(zip(new[:room], found[missing[:room]].tolist()))
-        return found
+        return self.text[0][_buckets(words)].sum(axis=1)
 
     def text_odds(self, words: np.ndarray, statistics: np.ndarray) -> np.ndarray:
         """Raw log odds of the text view from the words' mean weight and the statistics."""
@@ -210,7 +235,7 @@ def views(documents: DataFrame) -> DataFrame:
         for part in word_slices(batches):
             n, width = part.rows.num_rows, 1 << TEXT_BITS
             document = np.repeat(np.arange(n), part.counts)
-            buckets = _buckets(part.words.to_pylist())
+            buckets = _buckets(part.words)
             keys, counts = np.unique(np.concatenate([document * width + buckets[part.codes, j] for j in range(2)]), return_counts=True)
             ends = np.searchsorted(keys, np.arange(n + 1) * width)
             rows = [pa.array(part.counts)] + [_rows(x, ends) for x in ((keys % width).astype("<u2"), np.minimum(counts, 65535).astype("<u2"))]
@@ -266,9 +291,10 @@ def _odds(model: CoModel, columns, counts, n_words, statistics, page) -> tuple[n
 def sure_rows(found: DataFrame, model: CoModel, marks: DataFrame, wanted: dict[tuple[int, int], int], seen: dict[int, set[int]]):
     """Rows of VIEWS that the model of ``view`` surely labels ``y``: of all unlabelled documents, the first by key, as many as wanted at most.
 
-    Every document is scored in its task, which passes on its first rows of
-    each kind, ``SPARE`` times as many as wanted, since labelled ones go
-    afterwards.  A row that a model has given before is not given again.
+    Every document is scored in its task, which passes on the keys of its first
+    rows of each kind, ``SPARE`` times as many as wanted, since labelled ones go
+    afterwards; the views of the few that are left are read again.  A row that a
+    model has given before is not given again.
     """
     shared = found.sparkSession.sparkContext.broadcast((model, wanted, seen))
     names = ["key", *(c.split()[0] for c in VIEWS.split(", "))]
@@ -288,17 +314,24 @@ def sure_rows(found: DataFrame, model: CoModel, marks: DataFrame, wanted: dict[t
                 mine = best[view, label]
                 for i in sure[np.argsort(key[sure], kind="stable")][: SPARE * most].tolist():
                     if int(key[i]) not in seen[view] and int(key[i]) not in mine:
-                        mine[int(key[i])] = tuple(c[i].as_py() for c in b.columns)
+                        mine[int(key[i])] = column["doc_id"][i].as_py()
                 for k in sorted(mine)[SPARE * most :]:
                     del mine[k]
-        rows = [(view, label, *row) for (view, label), mine in best.items() for row in mine.values()]
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names=["view", "y", *names])
-
-    picked = found.select(*names).mapInArrow(pick, f"view int, y int, key long, {VIEWS}").join(marks.select("doc_id"), "doc_id", "left_anti")
-    first = Window.partitionBy("view", "y").orderBy("key", "doc_id")
-    kept = picked.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max(wanted.values())).toPandas()
-    return kept[[n <= wanted[v, label] for v, label, n in zip(kept["view"], kept["y"], kept["_n"])]]
+        rows = [(view, label, k, doc_id) for (view, label), mine in best.items() for k, doc_id in mine.items()]
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names=["view", "y", "key", "doc_id"])
+
+    picked = found.select(*names).mapInArrow(pick, "view int, y int, key long, doc_id long").join(marks.select("doc_id"), "doc_id", "left_anti")
+    for parts in MERGED:  # a tree: no task reads more than a few thousand first rows, however many tasks scored
+        first = Window.partitionBy("view", "y", F.pmod("key", F.lit(parts))).orderBy("key", "doc_id")
+        picked = picked.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max(wanted.values()))
+    kept = picked.select("view", "y", "key", "_n").toPandas()
+    kept = kept.loc[np.array([n <= wanted[v, label] for v, label, n in zip(kept["view"], kept["y"], kept["_n"])], bool)]
+    if kept.empty:
+        return kept
+    keys = found.sparkSession.createDataFrame([(int(k),) for k in sorted(set(kept["key"]))], "key long")  # a few thousand at most
+    rows = found.select(*names).join(F.broadcast(keys), "key", "left_semi").dropDuplicates(["key"]).toPandas()
+    return kept.drop(columns="_n").merge(rows, on="key").sort_values(["view", "y", "key"], kind="stable")
 
 
 def train(documents: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pseudo_rows: int = PSEUDO_ROWS, rounds: int = ROUNDS) -> CoModel | None:
@@ -372,7 +405,7 @@ def score(documents: DataFrame, model: CoModel | None, names_added: tuple[str, s
             n = part.rows.num_rows
             found = (np.ones(n),) * 3
             if fitted is not None:
-                each = fitted.word_weights(part.words.to_pylist())
+                each = fitted.word_weights(part.words)
                 words = np.bincount(np.repeat(np.arange(n), part.counts), weights=each[part.codes], minlength=n) / np.maximum(part.counts, 1)
                 found = fitted.scores(fitted.text_odds(words, _statistics(part)), fitted.page_odds(_page_of(part.rows, names, len(own))))
             some = part.counts > 0

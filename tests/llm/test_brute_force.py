@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,8 +70,6 @@ def test_rules_find_a_planted_threshold():
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_piecewise_ids_are_the_tokenizers(texts, name):
-    import pyarrow as pa
-
     odd = ["", "  a  b\n c", "a\n\nb  c ", "hello <|endoftext|> world", "it's, they're. we'LL don't,", "Straße Ünïcode, é. ٣,", "\x01 a\x01b", "a\x1c b \x85 c", "ΑΣ. Σ, .. ,", "\n\n", "1,2. 3.", " lead", "trail ", "a​, ​b.", "a  b"]
     encoder = tokens.PieceEncoder(tokens.public_path(name), kept=100)
     assert encoder.kind != "whole"
@@ -348,7 +347,7 @@ def test_quality_scores_of_each_text(spark, documents):
     for r in documents.collect():
         words, s = WORD.findall(r.text or ""), stats[r.doc_id]
         row = [np.log1p(s.n_words), np.log1p(s.n_lines), s.n_words / max(1, s.n_lines), *(s[top] / s[bottom] if s[bottom] else 0.0 for top, bottom in FEATURES.values())]
-        text = b + 10 * w[co_training._buckets(words)].sum() / max(1, len(words)) + (np.array(row, np.float32) - model.scale[0]) / model.scale[1] @ w[1 << co_training.TEXT_BITS :]
+        text = b + 10 * w[co_training._buckets(pa.array(words, pa.string()))].sum() / max(1, len(words)) + (np.array(row, np.float32) - model.scale[0]) / model.scale[1] @ w[1 << co_training.TEXT_BITS :]
         page = model.page_odds(co_training._page({"lang": [r.lang], "source": [r.source], "n_chars": [r.n_chars]}))[0]
         wanted = model.scores(np.array([text]), np.array([page]))[2][0] if words else 0.0
         assert abs(found[r.doc_id].score - wanted) < 1e-3 and (abs(wanted - co_training.LEAST_SCORE) < 1e-3 or found[r.doc_id].kept == (wanted >= co_training.LEAST_SCORE))
@@ -429,9 +428,9 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 def test_mix_comes_near_its_targets(spark):
-    found = queries.QUERIES["op10_source_mix"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source"), "doc_id")
+    found = queries.QUERIES["op10_source_mix"](spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "source"), "doc_id")
     for r in found.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).collect():
-        assert abs(r.taken - r.target) < 0.45 * r.target and r.over <= 0
+        assert abs(r.taken - r.target) < 0.2 * r.target and r.over <= 0
 
 
 def test_signatures_bound_the_difference():

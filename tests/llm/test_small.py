@@ -104,26 +104,13 @@ def test_a_worker_holds_one_object():
     assert held("a", lambda: [2]) is first and held("b", lambda: [3]) == [3] and held("a", lambda: [4]) == [4]
 
 
-def test_kept_words_score_as_new_ones(monkeypatch):
-    import numpy as np
-    import pandas as pd
+def test_buckets_of_words():
+    """Equal words and shapes have equal buckets, wherever they stand."""
     import pyarrow as pa
 
-    from ledgerloom.llm.words import word_slices
-
-    batch = pa.RecordBatch.from_pydict({"text": ["hund cat 12 hund", "zz 12", None, "cat cat"]})
-    counted = pd.DataFrame([("a", "hund", 9, 0), ("b", "maus", 1, 0)], columns=["lang", "item", "n", "size"]), pd.DataFrame([("a", "at$", 1, 3), ("a", "und", 9, 3), ("b", "at$", 8, 3)], columns=["lang", "item", "n", "size"])
-    scores = []
-    for most in (0, 2, 100):
-        monkeypatch.setattr(language_id, "CACHED_WORDS", most)
-        monkeypatch.setattr(co_training, "CACHED_WORDS", most)
-        model = language_id.fitted(*counted)
-        co = co_training.CoModel((np.random.default_rng(0).random((1 << co_training.TEXT_BITS) + len(co_training.STATISTICS)), 0.0), (np.zeros(1), 0.0), None)
-        for _ in range(3):
-            labels, score = language_id._labels(model, next(word_slices([batch])))
-            scores.append((labels, score.tolist(), co.word_weights(["x", "Yy", "z"]).tolist()))
-        assert len(model.cache) <= most and len(co.cache) <= most
-    assert all(s == scores[0] for s in scores) and scores[0][0][0] == "a" and scores[0][0][2:] == ["und", "b"]
+    one = co_training._buckets(pa.array(["Hello", "hello", "HELLOO", "x9-", "y7-", "", "aaaaaaaaaaaaaaaaaaaa", "Straße"]))
+    assert one[0, 0] == one[1, 0] and one[0, 1] != one[1, 1] and one[3, 1] == one[4, 1] and one[3, 0] != one[4, 0] and one[1, 1] == one[6, 1]
+    assert (co_training._buckets(pa.array(["z", "Hello"]))[1] == one[0]).all() and len(co_training._buckets(pa.array([], pa.string()))) == 0
 
 
 def test_more_languages_than_a_table_holds(spark, monkeypatch):
@@ -132,7 +119,7 @@ def test_more_languages_than_a_table_holds(spark, monkeypatch):
     rows = [(i * 250 + j, f"word{j}a {j}x thing{j} same", f"l{j:03d}") for i in range(2) for j in range(250)]
     documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language_id.train(documents)
-    assert len(model.languages) == 250 and len(model.words.index) <= 400
+    assert len(model.languages) == 250 and len(model.words.names) <= 400
     monkeypatch.setattr(language_id, "TABLE", 500)
     found = language_id.identify(documents, model).collect()
     assert sum(r.lang_pred == r.lang for r in found) > 0.95 * len(found)
