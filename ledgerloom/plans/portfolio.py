@@ -171,20 +171,21 @@ def vintages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vintages(view(spark, sf_dir, "v_loans"))
 
 
-def search(loans: DataFrame, customers: DataFrame, term: str, kinds: tuple[str, ...] = ("product", "branch", "customer"), most: int = 15, customers_most: int = 12, least: int = 1) -> DataFrame:
+def search(loans: DataFrame, customers: DataFrame, term: str, kinds: tuple[str, ...] = ("product", "branch", "customer"), most: int = 15, customers_most: int = 12, least: int = 1, by_code: bool = False) -> DataFrame:
     """Products, branches and customers whose code or name contains ``term``; a term under ``least`` characters (2 while typing) finds nothing.
 
-    Names are looked up in the loans and in the customers apart, and only the
+    ``by_code`` finds those whose code is ``term``.  Names are looked up in the loans and in the customers apart, and only the
     ids that hit are joined with the loans.
     """
     term = term.strip().lower()
     term = term if len(term) >= least else ""
-    code = lambda c: F.col(c).cast("string").contains(term)
+    code = lambda c: F.col(c).cast("string") == term if by_code else F.col(c).cast("string").contains(term)
     product = loans.where(code("prod_code")).groupBy(F.concat(F.lit("ZONE-PROD-"), F.col("prod_code").cast("string")).alias("id")).agg(F.count(F.lit(1)).alias("accounts")).withColumn("type", F.lit("product")).withColumn("_o", F.lit(1))
     branch = loans.where(code("brn_code")).groupBy(F.concat(F.lit("BRN-"), F.col("brn_code").cast("string")).alias("id")).agg(F.count(F.lit(1)).alias("accounts")).withColumn("type", F.lit("branch")).withColumn("_o", F.lit(2))
     named = customers.where(F.lower("first_name").contains(term) | F.lower("last_name").contains(term)).select("cust_id").distinct().withColumn("_named", F.lit(True))
     hit = code("cust_id") | F.lower("cust_name").contains(term) | F.col("_named")
-    people = loans.select("cust_id", "cust_name").join(named, "cust_id", "left").where(hit).groupBy(F.concat(F.lit("CUST-"), F.col("cust_id").cast("string")).alias("id")).agg(F.count(F.lit(1)).alias("accounts"))
+    matched = loans.where(code("cust_id")) if by_code else loans.select("cust_id", "cust_name").join(named, "cust_id", "left").where(hit)
+    people = matched.groupBy(F.concat(F.lit("CUST-"), F.col("cust_id").cast("string")).alias("id")).agg(F.count(F.lit(1)).alias("accounts"))
     people = top_k(people, customers_most, F.desc("accounts"), F.asc("id")).withColumn("type", F.lit("customer")).withColumn("_o", F.lit(3))
     parts = [p for kind, p in (("product", product), ("branch", branch), ("customer", people)) if kind in kinds]
     found = union_all(*parts) if term else union_all(*parts).limit(0)
