@@ -326,6 +326,7 @@ def sure_rows(found: DataFrame, model: CoModel, marks: DataFrame, wanted: dict[t
         first = Window.partitionBy("view", "y", F.pmod("key", F.lit(parts))).orderBy("key", "doc_id")
         picked = picked.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max(wanted.values()))
     kept = picked.select("view", "y", "key", "_n").toPandas()
+    shared.destroy()
     kept = kept.loc[np.array([n <= wanted[v, label] for v, label, n in zip(kept["view"], kept["y"], kept["_n"])], bool)]
     if kept.empty:
         return kept

@@ -297,11 +297,11 @@ def _filter(wanted: DataFrame) -> np.ndarray:
             for row, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 block = np.frombuffer(pa.Codec("zstd").decompress(data, FILTER_BITS // FILTER_ROWS // 8), np.uint8)
                 total[row] = total[row] | block if row in total else block
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["row", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([pa.Codec("zstd").compress(v, asbytes=True) for v in total.values()], pa.binary())], names=["row", "bits"])
 
     out = np.zeros((FILTER_ROWS, FILTER_BITS // FILTER_ROWS // 8), np.uint8)
     for r in wanted.select("v").coalesce(8).mapInArrow(mark, "row int, bits binary").repartition("row").mapInArrow(merge, "row int, bits binary").collect():  # FILTER_ROWS rows
-        out[r.row] = np.frombuffer(r.bits, np.uint8)
+        out[r.row] = np.frombuffer(pa.Codec("zstd").decompress(r.bits, FILTER_BITS // FILTER_ROWS // 8), np.uint8)
     return out.ravel()
 
 
@@ -328,7 +328,10 @@ def _chosen(documents: DataFrame, wanted: DataFrame, make, kind: str) -> DataFra
             sets = shingle_sets(part, k)
             yield pa.RecordBatch.from_arrays([part.rows.column(0), pa.array([column(s) for s in sets], pa.binary())], names=["v", "s"])
 
-    return materialize(chosen.mapInArrow(take, "v long, s binary"), kind, "uncompressed")
+    found = materialize(chosen.mapInArrow(take, "v long, s binary"), kind, "uncompressed")
+    if bits is not None:
+        bits.destroy()  # 16 MB of the driver
+    return found
 
 
 def _signature(shingles: np.ndarray) -> bytes:
@@ -501,6 +504,7 @@ def similar(documents: DataFrame, words: int = 4, num: int = 85, den: int = 100)
 
     sets = _chosen(documents, materialize(_ends(to_pivot), "wanted"), (words, np.ndarray.tobytes), "shingle-sets")
     differences = _differences(_with_sets(to_pivot, sets), sketch, at)
+    sketch.destroy()
     far = _far_links(differences, at)
     unsure = materialize(far.where("not sure").select("a", "b").union(pairs).distinct(), "pairs")
     sets = _chosen(documents, materialize(_ends(unsure), "wanted"), (words, np.ndarray.tobytes), "shingle-sets")
