@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -164,26 +164,34 @@ def char_chunks(text: Column, size: int = 1800, overlap: int = 250) -> Column:
 def paragraph_chunks(text: Column, size: int = 1800, overlap: int = 250, least: int = 400) -> Column:
     """Windows whose end snaps back to the last blank line, if that is over ``least`` characters in.
 
-    Each start depends on the end before it, so the array is folded over a
-    sequence long enough for the smallest step.
+    Each start depends on the end before it, so (start, end) are folded over a
+    sequence long enough for the smallest step, and then cut out.
     """
-    t = strip(collapse_newlines(text))
-    n = F.length(t)
-    rounds = F.sequence(F.lit(0), (n / max(1, least - overlap) + 1).cast("int"))
-
-    def step(state: Column, _: Column) -> Column:
-        start = state["start"]
-        window = F.substring(t, start + 1, size)
-        cut = F.length(window) - F.length(F.substring_index(window, "\n\n", -1)) - 2
-        whole = start + size >= n
-        end = F.when(whole, n).when(cut > least, start + cut).otherwise(start + size)
-        piece = strip(F.substring(t, start + 1, end - start))
-        chunks = F.when(piece != "", F.concat(state["chunks"], F.array(piece))).otherwise(state["chunks"])
-        moved = F.struct(F.when(whole, n).otherwise(F.greatest(end - overlap, start + 1)).cast("int").alias("start"), chunks.alias("chunks"))
-        return F.when(start >= n, state).otherwise(moved)
-
-    first = F.struct(F.lit(0).alias("start"), F.array().cast("array<string>").alias("chunks"))
-    return F.aggregate(rounds, first, step, lambda s: s["chunks"])
+
+    def whole(x: Column) -> Column:
+        t, n = x["t"], x["n"]
+        rounds = F.sequence(F.lit(0), (n / max(1, least - overlap) + 1).cast("int"))
+
+        def step(state: Column, _: Column) -> Column:
+            start = state["start"]
+            snapped = bound(cut_of(F.substring(t, start + 1, size)), lambda cut: F.when(cut > least, start + cut).otherwise(start + size))
+            last = start + size >= n
+            moved = bound(F.when(last, n).otherwise(snapped), lambda end: F.struct(F.when(last, n).otherwise(F.greatest(end - overlap, start + 1)).cast("int").alias("start"), F.concat(state["found"], F.array(F.struct(start.alias("start"), end.cast("int").alias("end")))).alias("found")))
+            return F.when(start >= n, state).otherwise(moved)
+
+        first = F.struct(F.lit(0).alias("start"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
+        found = F.aggregate(rounds, first, step, lambda s: s["found"])
+        return F.filter(F.transform(found, lambda w: strip(F.substring(t, w["start"] + 1, w["end"] - w["start"]))), lambda piece: piece != "")
+
+    def cut_of(window: Column) -> Column:
+        return bound(window, lambda w: F.length(w) - F.length(F.substring_index(w, "\n\n", -1)) - 2)
+
+    return bound(strip(collapse_newlines(text)), lambda t: bound(F.struct(t.alias("t"), F.length(t).alias("n")), whole))
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: what stands in a lambda is worked out at each call, and at each place where it stands."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def sections(text: Column) -> Column:
