@@ -425,21 +425,24 @@ OBSERVATION = "Strategic observation"
 def _parts_of(text: Column, headings: Sequence[str]) -> Column:
     """(name, lines) of each heading's part, in order; ``rest`` is what follows the heading on its line."""
     low = "|".join(h.lower() for h in headings)
-    lines = F.split(text, "\n")
-    at = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.lower(F.element_at(lines, i)).rlike(f"^[#*\\s]*({low})\\b"))
-    return F.transform(
-        at,
-        lambda s, j: F.struct(
-            F.regexp_extract(F.lower(F.element_at(lines, s)), f"^[#*\\s]*({low})\\b", 1).alias("name"),
-            F.trim(F.regexp_replace(F.element_at(lines, s), f"(?i)^[#*\\s]*({low})\\b\\s*\\**:?\\s*", "")).alias("rest"),
-            F.slice(lines, s + 1, F.coalesce(F.get(at, j + 1), F.size(lines) + 1) - s - 1).alias("lines"),
-        ),
-    )
+
+    def parts(lines: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.lower(F.element_at(lines, i)).rlike(f"^[#*\\s]*({low})\\b"))
+        return T.bound(at, lambda at: F.transform(at, lambda s, j: part(lines, s, F.coalesce(F.get(at, j + 1), F.size(lines) + 1))))
+
+    def part(lines: Column, start: Column, end: Column) -> Column:
+        return F.struct(
+            F.regexp_extract(F.lower(F.element_at(lines, start)), f"^[#*\\s]*({low})\\b", 1).alias("name"),
+            F.trim(F.regexp_replace(F.element_at(lines, start), f"(?i)^[#*\\s]*({low})\\b\\s*\\**:?\\s*", "")).alias("rest"),
+            F.slice(lines, start + 1, end - start - 1).alias("lines"),
+        )
+
+    return T.bound(F.split(text, "\n"), parts)
 
 
 def quadrants(documents: DataFrame, headings: Sequence[str] = HEADINGS) -> DataFrame:
     """(doc_id, quadrant, items): bullets under the last heading before them, found inside the array of lines."""
-    parts = documents.where("text is not null").select("doc_id", _parts_of(F.col("text"), [*headings, OBSERVATION]).alias("parts"))
+    parts = documents.select("doc_id", _parts_of(F.col("text"), [*headings, OBSERVATION]).alias("parts"))
     mark = r"^\s*[-*•]\s+"
     items = lambda name: F.flatten(F.transform(F.filter("parts", lambda p: p["name"] == name), lambda p: F.transform(F.filter(p["lines"], lambda x: x.rlike(mark)), lambda x: F.regexp_replace(x, mark, ""))))
     each = F.array(*[F.struct(F.lit(h.lower()).alias("quadrant"), items(h.lower()).alias("items")) for h in headings])
@@ -455,12 +458,16 @@ def observation(text: Column) -> Column:
 
 def four_part_brief(text: Column, headings: Sequence[str] = HEADINGS) -> Column:
     """A text's lines as bullets under the headings: the first share of the lines under the first one, and so on."""
-    lines, parts = F.split(text, "\n"), len(headings)
-    blocks = []
-    for i, heading in enumerate(headings):
-        start, end = (F.floor(F.size(lines) * j / parts).cast("int") for j in (i, i + 1))
-        blocks += [F.array(F.lit(f"### {heading}")), F.transform(F.slice(lines, start + 1, end - start), lambda line: F.concat(F.lit("- "), line))]
-    return F.array_join(F.concat(*blocks), "\n")
+    parts = len(headings)
+
+    def brief(lines: Column) -> Column:
+        blocks = []
+        for i, heading in enumerate(headings):
+            start, end = (F.floor(F.size(lines) * j / parts).cast("int") for j in (i, i + 1))
+            blocks += [F.array(F.lit(f"### {heading}")), F.transform(F.slice(lines, start + 1, end - start), lambda line: F.concat(F.lit("- "), line))]
+        return F.array_join(F.concat(*blocks), "\n")
+
+    return T.bound(F.split(text, "\n"), brief)
 
 
 @register("swot_quadrants", r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), q AS (SELECT doc_id, l, len(l) AS n, unnest(['strengths', 'weaknesses', 'opportunities', 'threats']) AS quadrant, unnest([0, 1, 2, 3]) AS i FROM l),
