@@ -19,6 +19,7 @@ from ledgerloom.plans import documents as D
 from ledgerloom.plans import returns as R
 from ledgerloom.plans.domain import table, view
 from ledgerloom.plans.registry import ORACLES, register, sql_lakhs
+from ledgerloom.storage import materialize
 
 
 class Embedder(Protocol):
@@ -117,9 +118,11 @@ def full_profile(name: str, url: str, extracted: DataFrame, links: DataFrame, ru
     """One Markdown text of eight sections: extracted lines (category, line_no, line), points by quadrant, observations, and links (link_no, label, url).
 
     A corpus without lines and links gives the same sections with their
-    fallbacks, and no points.
+    fallbacks, and no points.  The lines, at most a dozen a category, are
+    written once for all sections.
     """
     spark = extracted.sparkSession
+    extracted = materialize(extracted, "profile-lines")
     own = [(extracted.where(F.col("category") == category), "line_no", F.concat(F.lit("- "), F.col("line")), title, f"- {none}") for title, category, none in sections]
     marks = points(extracted, rules)
     heads = [q for q in dict.fromkeys(r[0] for r in rules)]

@@ -76,8 +76,10 @@ def category_scores(documents: DataFrame, categories: Mapping[str, Sequence[str]
     """(doc_id, category, score): keyword occurrences, four times for phrases, plus 100 where the name has a hint.
 
     Keywords are few, so each document's scores are one array of columns: no join.
+    A text is lower-cased once for all of them.
     """
-    low = F.lower("text")
+    documents = documents.select("doc_id", F.lower("text").alias("_low"), *([name] if hints else []))
+    low = F.col("_low")
     rows = []
     for category, words in categories.items():
         score = sum((T.occurrences(low, F.lit(w)) * (4 if " " in w else 1) for w in words), F.lit(0).cast("long"))
@@ -117,10 +119,12 @@ def hinted_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extracted_lines(documents: DataFrame, categories: Mapping[str, Sequence[str]], shortest: int = 20, longest: int = 260, most: int = 12) -> DataFrame:
     """(category, line_no, line): lines with a keyword of the category's best documents, in their order, each once.
 
-    The best are eight a category, so they pick the texts before any line is cleaned.
+    The best are eight a category, so they pick the texts before any line is
+    cleaned.  The outer explode keeps it so: for the inner one Spark adds a
+    filter on the array's size and pushes it below the join, to all documents.
     """
     best = ranked_documents(documents, categories).select("doc_id", "category", "place")
-    found = documents.join(F.broadcast(best), "doc_id").select("category", "place", "doc_id", F.posexplode(kept_lines(F.col("text"))).alias("pos", "line"))
+    found = documents.join(F.broadcast(best), "doc_id").select("category", "place", "doc_id", F.posexplode_outer(kept_lines(F.col("text"))).alias("pos", "line"))
     low = F.lower("line")
     hit = F.lit(False)
     for category, words in categories.items():
