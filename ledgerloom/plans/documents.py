@@ -282,15 +282,32 @@ def sections_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_chunks(whole).select("doc_id", "section", "chunk_index", F.md5("text").alias("digest"))
 
 
+#: Tokens that hash_embedding encodes at once: some 20 MB of arrays.
+SLICE_TOKENS = 1 << 18
+
+
+def _token_slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of about ``SLICE_TOKENS`` in their second column, or one longer row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + SLICE_TOKENS, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def hash_embedding(documents: DataFrame, size: int = 1024) -> DataFrame:
     """Sparse (doc_id, bucket, weight): token counts by hash bucket, at unit length; a row is a document.
 
-    Arrow encodes a batch's tokens, so each distinct one is hashed once, and a
+    Arrow encodes the tokens of some documents at once (about ``SLICE_TOKENS``,
+    or one longer document), so each distinct one is hashed once, and a
     document's counts never leave its task.
     """
 
     def embed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _token_slices(batches):
             n = batch.num_rows
             coded = batch.column(1).flatten().dictionary_encode()
             bucket = np.array([int.from_bytes(hashlib.sha256(t.encode()).digest()[:4], "big") % size for t in coded.dictionary.to_pylist()], np.int64)
@@ -299,6 +316,7 @@ def hash_embedding(documents: DataFrame, size: int = 1024) -> DataFrame:
             of = keys // size
             norm = np.sqrt(np.bincount(of, weights=counts.astype(np.float64) ** 2, minlength=n))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array((keys % size).astype(np.int32)), pa.array(counts / norm[of])], names=["doc_id", "bucket", "weight"])
+        pa.default_memory_pool().release_unused()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", T.tokens(F.col("text")).alias("tokens")).mapInArrow(embed, f"doc_id {kind}, bucket int, weight double")
